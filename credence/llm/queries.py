@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules
+from . import line_dedup, mixing, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +24,22 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_dropped").cast("long").alias("n_dropped"), F.length("text").cast("long").alias("n_chars_left"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_md5"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    place = F.array_min(F.transform("copies", lambda c: c["position"]))
+    out = out.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_copies"), place.alias("position"))
+    return out.orderBy(F.col("position").asc_nulls_last())
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("spans", lambda s: s["k"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["k"] < 3)
+    return out.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(F.encode(secret_scan.spelled(base), "UTF-8"), 256).alias("base_sha256"), secret_scan.spelled(F.col("spans")).alias("spans"), of(3).alias("n_random"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op8_mixing, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
