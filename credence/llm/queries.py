@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality_rules, secret_scan
+from . import line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +24,27 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_dropped").cast("long").alias("n_dropped"), F.length("text").cast("long").alias("n_chars_left"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_md5"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs packed with the public byte-level vocabulary."""
+    import public_tokenizers as public
+
+    return packing.pack(docs, public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     place = F.array_min(F.transform("copies", lambda c: c["position"]))
     out = out.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_copies"), place.alias("position"))
-    return out.orderBy(F.col("position").asc_nulls_last())
+    # Documents that are not taken follow, spread out by their ids, so that no range of the sort holds all of them.
+    return out.orderBy(F.coalesce("position", 1 + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +55,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op8_mixing, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_packing, op7_near_dedup, op8_mixing, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
