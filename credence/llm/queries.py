@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan
+from . import ann, line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_dropped").cast("long").alias("n_dropped"), F.length("text").cast("long").alias("n_chars_left"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_md5"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """docs packed with the public byte-level vocabulary."""
     import public_tokenizers as public
@@ -55,7 +59,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_packing, op7_near_dedup, op8_mixing, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_nearest_neighbours, op4_packing, op7_near_dedup, op8_mixing, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
