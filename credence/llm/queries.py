@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan
+from . import ann, license_scan, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(table(spark, sf_dir, "documents"), quality_model.graded(table(spark, sf_dir, "labels")))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,8 +66,14 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(F.encode(secret_scan.spelled(base), "UTF-8"), 256).alias("base_sha256"), secret_scan.spelled(F.col("spans")).alias("spans"), of(3).alias("n_random"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf_dir, "documents"))
+    spelled = F.transform("found", lambda f: F.concat_ws(":", f["license"], f["first_line"].cast("string"), f["end_line"].cast("string"), f["differing"].cast("string")))
+    return out.select("doc_id", F.size("found").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda f: f["license"]))), ",").alias("licenses"), F.array_join(spelled, ",").alias("spans"), F.array_max(F.transform("found", lambda f: f["saved"])).alias("most_saved"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_nearest_neighbours, op4_packing, op7_near_dedup, op8_mixing, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_nearest_neighbours, op4_packing, op5_url_filter, op6_quality_classifier, op7_near_dedup, op8_mixing, op9_secret_scan, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
