@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules
+from . import line_dedup, mixing, near_dedup, quality_rules
 from .common import materialize
+from .queries import packed
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,12 +22,25 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return recount(line_dedup.dedup_lines(docs).drop("_dropped"))
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time a document is taken, in training order."""
+    return mixing.schedule_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packed(docs)
+
+
 def recount(docs: DataFrame) -> DataFrame:
     """n_chars follows the text."""
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_stage), ("line_dedup", line_stage)]
+STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str, steps: list[tuple[str, Stage]]) -> DataFrame:
