@@ -7,11 +7,13 @@ grade and the tail probability P(grade >= 2) come from that; the latter
 selects.
 
 Features of a document are the distinct words (letters and digits, lower
-case), what hangs on words (leading and trailing signs, all capitals), and
-classes of length and of repetition, each hashed into `DIMENSIONS`, with equal
-weight 1/sqrt(their number). The model is fitted on the driver from the
-features of at most `SAMPLE` labelled rows (those with the smallest hashes of
-their ids); every document is scored where it lies.
+case) and their beginnings, what hangs on words (leading and trailing signs,
+all capitals), and classes of length and of repetition, each hashed into
+`DIMENSIONS`. The model is fitted on the driver from the features of at most
+`SAMPLE` labelled rows (those with the smallest hashes of their ids). Features
+whose log odds between the top grade and the others are within `LEAST_Z`
+standard errors of none are left out, so that a few telling words are not
+drowned in a long document. Every document is scored where it lies.
 
 Defined results for unusual input: a null or empty text has only the length
 class; labels that are null, or whose document is missing, are not used; a
@@ -30,10 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 8000
+SAMPLE = 20_000
 DIMENSIONS = 1 << 18
 GRADES = 3
-ROUNDS, RATE, PENALTY = 150, 0.3, 1e-6
+LEAST_Z = 4.5
+ROUNDS, RATE, PENALTY = 300, 0.3, 1e-4
+STARTS = (4, 5)
 LEAST_TAIL = 0.5
 _CACHE = 200_000
 
@@ -49,8 +53,9 @@ class WordFeatures(dict):
         if len(self) >= _CACHE:
             self.clear()
         core = word.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…»«“”")
-        head, _, tail = word.partition(core) if core else ("", "", word)
         out = [_number(b"w" + core.lower().encode())] if core else []
+        out += [_number(b"b" + core[:n].lower().encode()) for n in STARTS if len(core) > n]
+        head, _, tail = word.partition(core) if core else ("", "", word)
         out += [_number(k + v.encode()) for k, v in ((b"h", head), (b"t", tail)) if v]
         if len(core) > 1 and core.isupper():
             out.append(_number(b"capitals"))
@@ -68,12 +73,23 @@ def features(text: str | None, known: WordFeatures) -> np.ndarray:
     return np.fromiter(out, np.int32, len(out))
 
 
+def telling(index: np.ndarray, size: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """Which features tell the top grade from the others."""
+    top = grades == GRADES - 1
+    n, n_top = len(grades), int(top.sum())
+    with_top = np.bincount(index, weights=np.repeat(top, size), minlength=DIMENSIONS)
+    with_other = np.bincount(index, minlength=DIMENSIONS) - with_top
+    cells = [with_top + 0.5, with_other + 0.5, n_top - with_top + 0.5, n - n_top - with_other + 0.5]
+    odds = np.log(cells[0] * cells[3] / (cells[1] * cells[2]))
+    return np.abs(odds) >= LEAST_Z * np.sqrt(sum(1 / c for c in cells))
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by Adam on the whole of the likelihood."""
-    index = np.concatenate(rows)
-    size = np.array([len(r) for r in rows])
-    starts, value = np.append(0, np.cumsum(size)[:-1]), np.repeat(1 / np.sqrt(size), size)
-    used, index = np.unique(index, return_inverse=True)
+    index, size = np.concatenate(rows), np.array([len(r) for r in rows])
+    keep = telling(index, size, grades)
+    of = np.repeat(np.arange(len(rows)), size)[keep[index]]
+    used, index = np.unique(index[keep[index]], return_inverse=True)
     # Thresholds as a first one and the logarithms of the steps to the next, so that they stay in order.
     p = np.zeros(len(used) + GRADES - 1)
     share = np.cumsum(np.bincount(grades, minlength=GRADES)[:-1] + 1) / (len(grades) + GRADES)
@@ -84,15 +100,15 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = ROUNDS) -> tup
     for k in range(1, rounds + 1):
         w, first, steps = p[: len(used)], p[len(used)], np.exp(p[len(used) + 1 :])
         t = first + np.append(0, np.cumsum(steps))
-        s = np.add.reduceat(w[index] * value, starts)
+        s = np.bincount(of, weights=w[index], minlength=len(grades))
         below = np.column_stack([np.zeros(len(s)), 1 / (1 + np.exp(np.clip(s[:, None] - t[None, :], -40, 40))), np.ones(len(s))])
         slope = below * (1 - below)
-        of = np.maximum(below[one, grades + 1] - below[one, grades], 1e-12)
+        likely = np.maximum(below[one, grades + 1] - below[one, grades], 1e-12)
         # d log P / d t_k, for the threshold above the grade and the one below it
-        above, under = slope[one, grades + 1] / of, slope[one, grades] / of
+        above, under = slope[one, grades + 1] / likely, slope[one, grades] / likely
         by_t = np.array([above[grades == j].sum() - under[grades == j + 1].sum() for j in range(GRADES - 1)]) / len(s)
         by_s = -(above - under) / len(s)
-        g = np.concatenate([np.bincount(index, weights=np.repeat(by_s, size) * value, minlength=len(used)) - PENALTY * w, [by_t.sum()], steps * np.cumsum(by_t[::-1])[::-1][1:]])
+        g = np.concatenate([np.bincount(index, weights=by_s[of], minlength=len(used)) - PENALTY * w, [by_t.sum()], steps * np.cumsum(by_t[::-1])[::-1][1:]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p + RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     weights = np.zeros(DIMENSIONS)
@@ -135,7 +151,7 @@ def score(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
         weights, cuts = sent.value
         known = WordFeatures()
         for batch in batches:
-            s = np.array([weights[x].sum(dtype=np.float64) / np.sqrt(len(x)) for x in (features(t.as_py(), known) for t in batch.column(1))])
+            s = np.array([weights[x].sum(dtype=np.float64) for x in (features(t.as_py(), known) for t in batch.column(1))])
             tail = 1 / (1 + np.exp(np.clip(cuts[None, :] - s[:, None], -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tail.sum(axis=1)), pa.array(tail[:, 0]), pa.array(tail[:, 1]), pa.array(tail[:, 1] >= least_tail)], names=["doc_id", "expected_grade", "p_good", "p_clean", "kept"])
 
