@@ -10,16 +10,20 @@ a band; those whose sketches are within `MARGIN` of the threshold are confirmed
 on their full sets.
 
 Groups of near copies are not expanded into pairs. First every member of a
-bucket is held against one leader, twice with different leaders, which costs a
-comparison for each membership; what links is one component. Only members that
-are still in different components are compared with each other: by sketch
-alone, in blocks of a bucket, so that a large bucket is many small tasks, and
-a pair goes on to the texts only from the first band it shares. No bucket is
-capped.
-
-Confirmation sorts the texts of a leader and of its partners next to each
-other and streams them, holding one set at a time; a leader with many partners
-is repeated for every `PARTNERS` of them.
+bucket is held against one leader, which costs a comparison for each
+membership; what links is one component. Members that are still in different
+components are compared by sketch, in blocks of a bucket so that a large bucket
+is many small tasks; what comes out is no more than a spanning forest over the
+components that come near each other. Each tree of it is a group, and its
+members' texts meet in blocks of the group, where pairs of near sketches are
+confirmed, nearest first, unless links found before already join them. Of the
+two blocks that meet, one holds no member of the bucket's or group's main
+component, so that a large component is not compared with itself. No bucket
+and no group is capped.
+
+With a leader, confirmation sorts the texts of the leader and of its partners
+next to each other and streams them, holding one set at a time; a leader with
+many partners is repeated for every `PARTNERS` of them.
 
 Defined results for unusual input: a null text, or one without words, has no
 shingles and is linked with nothing; with fewer than five words the whole
@@ -45,6 +49,7 @@ THRESHOLD = 85
 BANDS, ROWS, BITS = 24, 5, 512
 MARGIN = 0.2
 BLOCK, PARTNERS = 256, 64
+BLOCK_SHINGLES = 100_000
 _CACHE = 200_000
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -169,98 +174,176 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) ->
     return rows.repartition("b", "chunk").sortWithinPartitions("b", "chunk", "role").select("b", "chunk", "role", "id", "text").mapInArrow(run, "a long, b long")
 
 
-def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """members (rep, ...) with label: the component so far."""
-    if links is None:
-        return members.withColumn("label", F.col("rep"))
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("_node"), "root")
     return members.join(roots, F.col("rep") == F.col("_node"), "left").withColumn("label", F.coalesce("root", "rep")).drop("_node", "root")
 
 
-def _with_leader(reps: DataFrame, turn: int, threshold: int) -> DataFrame:
-    """Candidate pairs (a, b): members of a bucket that are in another component than its leader. The first leader is the smallest id, the later ones come by hash."""
-    members = reps.select("rep", "label", F.explode("bands").alias("key"))
-    first = F.min(F.struct((F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("o"), F.col("rep").alias("leader"), F.col("label").alias("leader_label")))
-    leaders = members.groupBy("key").agg(first.alias("f"), F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("_key"), "f.leader", "f.leader_label")
-    pairs = members.join(leaders, F.col("key") == F.col("_key")).filter(F.col("label") != F.col("leader_label")).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+def _with_leader(reps: DataFrame, threshold: int) -> DataFrame:
+    """Candidate pairs (a, b): members of a bucket and its leader, the smallest."""
+    members = reps.select("rep", F.explode("bands").alias("key"))
+    leaders = members.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("_key"), "leader")
+    pairs = members.join(leaders, F.col("key") == F.col("_key")).filter(F.col("rep") != F.col("leader")).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     left, right = (reps.select(F.col("rep").alias(f"_{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     pairs = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
     return pairs.filter(_alike(F.col("na"), F.col("nb"), threshold) & (_bits(F.col("sa"), F.col("sb")) <= most_bits(threshold))).select("a", "b")
 
 
-def _in_blocks(reps: DataFrame, threshold: int) -> DataFrame:
-    """All candidate pairs (a, b) of different components, each from the first band that it shares."""
-    limit = most_bits(threshold)
+def _in_blocks(members: DataFrame, main: Column, minor_blocks: Column, main_blocks: Column) -> DataFrame:
+    """members (rep, ...) with own, their block, and i <= j, once for each two blocks that meet there. Blocks of the main component follow the others and do not meet each other."""
+    hashed = F.xxhash64("rep")
+    dealt = members.withColumn("_main", main).withColumn("_m", minor_blocks.cast("int")).withColumn("_n", main_blocks.cast("int"))
+    own = F.when(F.col("_main"), F.col("_m") + F.pmod(hashed, F.col("_n"))).otherwise(F.pmod(hashed, F.col("_m"))).cast("int")
+    last = F.when(F.col("_main"), F.col("_m")).otherwise(F.col("_m") + F.col("_n")) - 1
+    dealt = dealt.withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other")).drop("_main", "_m", "_n", "_other")
+
+
+def _near_pairs(across: bool, own: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray, threshold: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) of the pairs of different components whose sizes and sketches are near enough, nearest first."""
+    x, y = np.triu_indices(len(label), 1)
+    use = label[x] != label[y]
+    if across:
+        use &= own[x] != own[y]
+    x, y = x[use], y[use]
+    use = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * threshold
+    x, y = x[use], y[use]
+    apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+    order = np.argsort(apart, kind="stable")
+    order = order[apart[order] <= limit]
+    return x[order], y[order]
+
+
+class _Joined(dict):
+    """Components within a group."""
+
+    def root(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self[self.root(x)] = self.root(y)
+
+
+_MEMBER = ("own", "rep", "label", "n", "sketch")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """work(across, columns) for each run of rows with equal first three columns (group, i, j); columns are those of _MEMBER, then whatever follows as a list. It returns pairs (a, b). One run is held at a time."""
+    at, held = None, []
+
+    def done() -> list[tuple[int, int]]:
+        columns = [np.concatenate([h[k] for h in held]) for k in range(5)]
+        return work(at[1] != at[2], *columns, *([x for h in held for x in h[k]] for k in range(5, len(held[0])))) if len(columns[0]) > 1 else []
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+        plain = [batch.column(3 + k).to_numpy() for k in range(4)]
+        plain.append(batch.column(7).flatten().to_numpy().reshape(batch.num_rows, -1))
+        rest = [batch.column(k) for k in range(8, batch.num_columns)]
+        found: list[tuple[int, int]] = []
+        ends = [*(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+        begin = 0
+        for end in ends:
+            key = tuple(keys[:, begin].tolist())
+            if key != at:
+                if held:
+                    found += done()
+                at, held = key, []
+            held.append([c[begin:end] for c in plain] + [work.prepare(c.slice(begin, end - begin)) for c in rest])
+            begin = end
+        yield _pairs(found)
+    if held:
+        yield _pairs(done())
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([int(f[k]) for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+class _Forest:
+    """A spanning forest, over components, of the pairs with near sketches."""
+
+    def __init__(self, threshold: int, limit: int):
+        self.threshold, self.limit = threshold, limit
+
+    def __call__(self, across, own, rep, label, n, sketch) -> list[tuple[int, int]]:
+        x, y = _near_pairs(across, own, label, n, sketch, self.threshold, self.limit)
+        joined, out = _Joined(), []
+        for a, b in zip(label[x].tolist(), label[y].tolist()):
+            if joined.root(a) != joined.root(b):
+                joined.join(a, b)
+                out.append((a, b))
+        return out
+
+
+class _Links:
+    """Confirmed links between components; pairs that links found before join are not looked at."""
+
+    def __init__(self, threshold: int, limit: int, width: int):
+        self.threshold, self.limit, self.width, self.hashes = threshold, limit, width, WordHashes()
+
+    def prepare(self, texts: pa.Array) -> list[np.ndarray]:
+        return [shingles(t.as_py(), self.hashes, self.width) for t in texts]
+
+    def __call__(self, across, own, rep, label, n, sketch, full) -> list[tuple[int, int]]:
+        x, y = _near_pairs(across, own, label, n, sketch, self.threshold, self.limit)
+        joined, out = _Joined(), []
+        for a, b in zip(x.tolist(), y.tolist()):
+            if joined.root(label[a]) != joined.root(label[b]):
+                both = len(np.intersect1d(full[a], full[b], assume_unique=True))
+                if both * 100 >= (len(full[a]) + len(full[b]) - both) * self.threshold:
+                    joined.join(label[a], label[b])
+                    out.append((rep[a], rep[b]))
+        return out
+
+
+def _groups(reps: DataFrame, threshold: int) -> DataFrame:
+    """(label, group) of the components that come near another one, as their sketches have it."""
+    work = _Forest(threshold, most_bits(threshold))
     members = reps.select("rep", "label", F.explode("bands").alias("key"))
-    mixed = members.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("l"), F.max("label").alias("m")).filter("l < m").select(F.col("key").alias("_key"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    inside = members.select("rep", "key").join(mixed, F.col("key") == F.col("_key")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = inside.select("rep", "key", "own", other).select("rep", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = dealt.join(reps.select(F.col("rep").alias("_rep"), "label", "n", "sketch", "bands"), F.col("rep") == F.col("_rep")).select("key", "i", "j", "own", "rep", "label", "n", "sketch", "bands")
-
-    def pairs_of(key, i, j, own, rep, label, n, sketch, bands) -> tuple[np.ndarray, np.ndarray]:
-        x, y = np.triu_indices(len(rep), 1)
-        if i != j:
-            apart = own[x] != own[y]
-            x, y = x[apart], y[apart]
-        apart = label[x] != label[y]
-        x, y = x[apart], y[apart]
-        near = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * threshold
-        x, y = x[near], y[near]
-        near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1) <= limit
-        x, y = x[near], y[near]
-        shared = bands[x] == bands[y]
-        first = bands[x, shared.argmax(axis=1)] == key
-        return np.maximum(rep[x[first]], rep[y[first]]), np.minimum(rep[x[first]], rep[y[first]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def groups(table: pa.Table, last: bool):
-            """The results of the groups of a table, and what is left of its last group unless nothing more comes."""
-            c = [table.column(k).to_numpy() for k in range(7)]
-            sketch, bands = (table.column(k).combine_chunks().flatten().to_numpy().reshape(len(table), -1) for k in (7, 8))
-            change = np.flatnonzero((np.diff(c[0]) != 0) | (np.diff(c[1]) != 0) | (np.diff(c[2]) != 0)) + 1
-            ends = [*change.tolist(), len(table)]
-            found, at = [], 0
-            for end in ends if last else ends[:-1]:
-                if end - at > 1:
-                    s = slice(at, end)
-                    found.append(pairs_of(c[0][at], c[1][at], c[2][at], c[3][s], c[4][s], c[5][s], c[6][s], sketch[s], bands[s]))
-                at = end
-            return found, table.slice(at)
-
-        def batch_of(found):
-            a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        rest: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = [batch] if rest is None else [*rest.to_batches(), batch]
-            found, rest = groups(pa.Table.from_batches(held), False)
-            yield batch_of(found)
-        if rest is not None and rest.num_rows:
-            yield batch_of(groups(rest, True)[0])
-
-    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, width: int = WIDTH, leaders: int = 2) -> DataFrame:
+    main = F.min_by("label", "rep")
+    mixed = members.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("l"), F.max("label").alias("m"), main.alias("main")).filter("l < m").select(F.col("key").alias("_key"), "c", F.col("main").alias("_main_label"))
+    inside = members.join(mixed, F.col("key") == F.col("_key")).select("rep", "label", "key", "c", "_main_label")
+    blocks = F.ceil(F.col("c") / BLOCK)
+    dealt = _in_blocks(inside, F.col("label") == F.col("_main_label"), blocks, blocks).select("key", "i", "j", "own", "rep", "label")
+    full = dealt.join(reps.select(F.col("rep").alias("_rep"), "n", "sketch"), F.col("rep") == F.col("_rep")).select("key", "i", "j", *_MEMBER)
+    near = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda batches: _runs(batches, work), "a long, b long")
+    roots = components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return roots.select(F.col("node").alias("label"), F.col("root").alias("group")).union(roots.select(F.col("root").alias("label"), F.col("root").alias("group")).distinct())
+
+
+def _between(reps: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
+    """The links (a, b) that join the components of reps which belong together."""
+    work = _Links(threshold, most_bits(threshold), width)
+    groups = materialize(_groups(reps, threshold), "groups").withColumnRenamed("label", "_label")
+    inside = materialize(reps.join(groups, F.col("label") == F.col("_label")).select("group", "rep", "label", "n", "sketch"), "grouped")
+    parts = inside.groupBy("group", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    sizes = parts.groupBy("group").agg(F.max(F.struct("c", "s", "label")).alias("x"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    needed = lambda c, s: F.greatest(F.lit(1), F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.select(F.col("group").alias("_group"), F.col("x.label").alias("_main_label"), needed(F.col("c") - F.col("x.c"), F.col("s") - F.col("x.s")).alias("_minor"), needed(F.col("x.c"), F.col("x.s")).alias("_main_n"))
+    inside = inside.join(sizes, F.col("group") == F.col("_group"))
+    dealt = _in_blocks(inside, F.col("label") == F.col("_main_label"), F.col("_minor"), F.col("_main_n")).select("group", "i", "j", *_MEMBER)
+    dealt = materialize(dealt, "blocks")
+    dealt = F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS // 4 else dealt
+    rows = docs.join(dealt, F.col("doc_id") == F.col("rep")).select("group", "i", "j", *_MEMBER, "text")
+    return rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(lambda batches: _runs(batches, work), "a long, b long")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of df."""
     found = materialize(sets(df, id_col, text_col, width), "sets")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     classes = found.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
     reps = classes.select("rep", "n", "bands", "sketch")
-    links, now = None, materialize(_labelled(reps, None), "labelled")
-    for turn in range(leaders + 1):
-        candidates = _with_leader(now, turn, threshold) if turn < leaders else _in_blocks(now, threshold)
-        new = materialize(confirmed(candidates, docs, threshold, width), "links")
-        links = new if links is None else links.union(new)
-        if turn < leaders:
-            now = materialize(_labelled(reps, links), "labelled")
+    links = materialize(confirmed(_with_leader(reps, threshold), docs, threshold, width), "links")
+    joined = materialize(_labelled(reps, links), "labelled")
+    links = links.union(materialize(_between(joined, docs, threshold, width), "links"))
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     of_class = classes.select("digest", "rep", "copies").join(roots, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("_d"), F.coalesce("root", "rep").alias("component_id"), ((F.col("copies") > 1) | F.col("root").isNotNull()).alias("_more")).filter("_more")
     out = found.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of_class.drop("_more"), F.col("digest") == F.col("_d"), "left")
