@@ -40,10 +40,12 @@ from .common import materialize
 SAMPLE = 20_000
 CALIBRATION = 128
 BRANCH = 8
-LEAF = 256
+#: A leaf is split while it stands for more than this many times the root of the number of rows.
+LEAF = 8
 MOST_LEAVES = 4096
-RECALL = 0.97
-BLOCK, BATCH = 1024, 256
+RECALL = 0.95
+BLOCK, BATCH = 1024, 512
+_ROWS = 32
 ITERATIONS = 10
 
 
@@ -131,52 +133,46 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
-    """The k best (candidate, score) of each query: batches of them sorted in an array at a time, so that no query needs a task for itself."""
-    best = lambda c: F.slice(F.sort_array(c), 1, k)
-    packed = F.struct((-F.col("score")).alias("s"), F.col("candidate").alias("c"))
-    part = scores.groupBy("query", F.pmod(F.xxhash64("candidate"), F.lit(8)).alias("p")).agg(best(F.collect_list(packed)).alias("best"))
-    whole = part.groupBy("query").agg(best(F.flatten(F.collect_list("best"))).alias("best"))
-    return whole.select("query", F.posexplode("best").alias("at", "b")).select(F.col("query"), (F.col("at") + 1).alias("rank"), F.col("b.c").alias("candidate"), (-F.col("b.s")).alias("score"))
+    """The k best of each query from the lists (candidates, scores) of the blocks it was held against."""
+    of = lambda c, x: F.struct((-x).alias("s"), c.alias("c"))
+    lists = scores.select("query", F.zip_with("candidates", "scores", of).alias("best"))
+    whole = lists.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    return whole.select("query", F.posexplode("best").alias("at", "b")).select("query", (F.col("at") + 1).alias("rank"), F.col("b.c").alias("candidate"), (-F.col("b.s")).alias("score"))
 
 
 def _best(q_ids, q, c_ids, c, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score) of the k best candidates in a block for each query of a batch, but for the query itself; ties to smaller ids."""
-    order = np.argsort(c_ids, kind="stable")
-    c_ids, c = c_ids[order], c[order]
-    score = np.einsum("ij,kj->ik", q, c)
-    own = q_ids[:, None] == c_ids[None, :]
-    score[own] = -np.inf
-    if score.shape[1] > k:
-        least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k][:, None]
-        row, col = np.nonzero((score >= least) & ~own)
-        s = score[row, col]
-        by = np.lexsort((col, -s, row))
+    """(place of the query, place of the candidate, score) of the k best candidates in a block for each query of a batch, but for the query itself; ties to smaller ids.
+
+    A matrix product finds them with a little slack; their scores are then summed one by one, so that equal vectors score exactly alike wherever they stand.
+    """
+    out = []
+    for at in range(0, len(q), _ROWS):
+        part = q[at : at + _ROWS]
+        rough = part @ c.T
+        rough[q_ids[at : at + _ROWS, None] == c_ids[None, :]] = -np.inf
+        least = np.partition(rough, len(c_ids) - k, axis=1)[:, len(c_ids) - k, None] if len(c_ids) > k else np.full((len(part), 1), -np.inf)
+        slack = 1e-12 * np.abs(part).sum(axis=1, keepdims=True) * np.abs(c).max(initial=0)
+        row, col = np.nonzero((rough >= least - slack) & (rough > -np.inf))
+        s = np.einsum("ij,ij->i", part[row], c[col])
+        by = np.lexsort((c_ids[col], -s, row))
         row, col, s = row[by], col[by], s[by]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        row, col, s = row[place < k], col[place < k], s[place < k]
-    else:
-        row, col = np.nonzero(~own)
-        s = score[row, col]
-    return q_ids[row], c_ids[col], s
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((row[keep] + at, col[keep], s[keep]))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
-_SCORES = "query long, candidate long, score double"
-
-
-def exact(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, *keep: str) -> DataFrame:
-    """The k best of a few given queries over all rows, block by block, with columns of the rows kept."""
-    dim, kinds = vectors.shape[1], "".join(f", {c} long" for c in keep)
+def exact(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
+    """query, candidate, score, leaf: the k best of a few given queries in each batch of the indexed rows."""
+    dim = vectors.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c_ids = batch.column(0).to_numpy()
-            q, c, s = _best(ids, vectors, np.arange(len(c_ids)), _vectors(batch.column(1), dim), k) if len(c_ids) else ([], [], [])
-            c = np.asarray(c, np.int64)
-            frame = {"query": q, "candidate": c_ids[c], "score": s} | {x: batch.column(2 + i).to_numpy()[c] for i, x in enumerate(keep)}
-            out = pd.DataFrame(frame)
-            yield pa.RecordBatch.from_pandas(out[out["query"] != out["candidate"]], preserve_index=False)
+            if batch.num_rows:
+                c_ids = batch.column(0).to_numpy()
+                q, c, s = _best(ids, vectors, c_ids, _vectors(batch.column(1), dim), k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(c_ids[c]), pa.array(s), batch.column(2).take(pa.array(c))], names=["query", "candidate", "score", "leaf"])
 
-    return rows.select("id", "v", *keep).mapInArrow(run, _SCORES + kinds)
+    return rows.select("id", "v", "leaf").mapInArrow(run, "query long, candidate long, score double, leaf long")
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
@@ -190,8 +186,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     dim, count, most = dims.d, dims.n, float(np.sqrt(dims.m))
     rows = rows.filter(F.size("v") == dim)
     sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").collect()])
-    # The leaves shrink with the sample, so that each is to hold about LEAF of all rows while their number allows.
-    tree = Tree(lengthened(sample, most), max(len(sample) * 4 // MOST_LEAVES, min(len(sample), max(2, int(LEAF * len(sample) / count)))))
+    # Few leaves make long scans, many make queries travel far: both costs of a query grow as the root of the rows.
+    tree = Tree(lengthened(sample, most), max(2, len(sample) * 4 // MOST_LEAVES, int(LEAF * np.sqrt(count) * len(sample) / count)))
     sent = spark.sparkContext.broadcast(tree)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +201,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     if not trial:
         return spark.createDataFrame([], empty)
     ids, vectors = np.array([r.id for r in trial]), np.array([r.v for r in trial])
-    truth = exact(indexed, ids, vectors, k, "leaf")
+    truth = exact(indexed, ids, vectors, k)
     best = truth.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("candidate").alias("c"), "leaf"))), 1, k).alias("b"))
     wanted = {r["query"]: [x["leaf"] for x in r["b"]] for r in best.collect()}  # k for each of the bounded number of trials
     visits = calibrated(tree, ids, lengthened(vectors, 0.0), wanted, recall)
@@ -227,13 +223,14 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "candidate": [], "score": []})
-        at, (x, y) = right["id"].to_numpy(), (np.stack(p["v"].to_numpy()) for p in (left, right))
-        a, b, s = _best(left["id"].to_numpy(), x, at, y, k)
-        return pd.DataFrame({"query": a, "candidate": b, "score": s})
+            return pd.DataFrame({"query": [], "candidates": [], "scores": []})
+        q_ids, c_ids = left["id"].to_numpy(), right["id"].to_numpy()
+        q, c, x = _best(q_ids, np.stack(left["v"].to_numpy()), c_ids, np.stack(right["v"].to_numpy()), k)
+        ends = np.searchsorted(q, np.arange(1, len(q_ids)))
+        return pd.DataFrame({"query": q_ids, "candidates": np.split(c_ids[c], ends), "scores": np.split(x, ends)})
 
     key = ("leaf", "block", "batch")
-    scores = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(score, _SCORES)
+    scores = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(score, "query long, candidates array<long>, scores array<double>")
     return top(scores, k).select(F.col("query").alias("query_id"), F.col("rank").cast("int"), F.col("candidate").alias("vec_id"), "score", F.lit(visits).alias("visits"))
 
 
