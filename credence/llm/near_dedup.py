@@ -148,6 +148,7 @@ def _alike(n: Column, m: Column, threshold: int) -> Column:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough. docs: doc_id, text (binary). Partners of the same b are read next to it."""
+    pairs = materialize(pairs, "candidates")
     counts = pairs.groupBy("b").count().select(F.col("b").alias("_b"), F.ceil(F.col("count") / PARTNERS).alias("_chunks"))
     dealt = pairs.join(counts, F.col("b") == F.col("_b")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("_chunks")).alias("chunk"))
     dealt = materialize(dealt, "pairs")
