@@ -36,7 +36,7 @@ def _literal(rows: list[list[float]]) -> Column:
 
 
 def weighted_samples(spark: SparkSession, model: Model, n: int, evidence: Mapping[str, int] | None = None, seed: int = 0, start: int = 0, fast: bool = False) -> DataFrame:
-    """(sample_id, variables..., w): evidence variables are fixed and their probability given the parents goes into the weight w."""
+    """(sample_id, variables..., _weight): evidence variables are fixed and their probability given the parents goes into the weight."""
     evidence = dict(evidence or {})
     df = spark.range(start, start + n).select(F.col("id").alias("sample_id"))
     weight = F.lit(1.0)
@@ -50,18 +50,18 @@ def weighted_samples(spark: SparkSession, model: Model, n: int, evidence: Mappin
             cumulative = [[sum(r[: i + 1]) for i in range(len(r))] for r in rows]
             u = F.rand(seed * 1009 + v.id) if fast else uniform(seed, F.col("sample_id"), v.name)
             df = df.withColumn(v.name, draw(u, F.get(_literal(cumulative), at)).cast("int"))
-    return df.withColumn("w", weight).select("sample_id", *[v.name for v in model.network.variables], "w")
+    return df.withColumn("_weight", weight).select("sample_id", *[v.name for v in model.network.variables], "_weight")
 
 
 def forward_samples(spark: SparkSession, model: Model, n: int, seed: int = 0, start: int = 0, fast: bool = False) -> DataFrame:
-    return weighted_samples(spark, model, n, None, seed, start, fast).drop("w")
+    return weighted_samples(spark, model, n, None, seed, start, fast).drop("_weight")
 
 
-def tally(samples: DataFrame, model: Model, weight: str | None = "w") -> DataFrame:
+def tally(samples: DataFrame, model: Model, weight: str | None = "_weight") -> DataFrame:
     """(var_id, state, mass): summed weights of every state of every variable, from one pass."""
     w = F.col(weight) if weight else F.lit(1.0)
     each = F.array(*[F.struct(F.lit(v.id).alias("var_id"), F.col(v.name).alias("state")) for v in model.network.variables])
-    return samples.select(w.alias("w"), F.explode(each).alias("x")).groupBy("x.var_id", "x.state").agg(F.sum("w").alias("mass"))
+    return samples.select(w.alias("_w"), F.explode(each).alias("_x")).groupBy("_x.var_id", "_x.state").agg(F.sum("_w").alias("mass"))
 
 
 def to_posterior(mass: DataFrame, model: Model, guard: str | None = None, least: float = 1e-20) -> DataFrame:
