@@ -134,7 +134,7 @@ def best_of(graphs: list[dict[str, tuple[str, ...]]], names: Sequence[str], card
 
 
 def sampled(model: Model, n: int, seed: int, evidence: Mapping[str, int] | None = None) -> str:
-    """CTE s(i, names..., w) of weighted samples."""
+    """CTE s(i, names..., _w) of weighted samples."""
     net, evidence = model.network, dict(evidence or {})
     inner, names, weights = f"SELECT range AS i FROM range({n})", [], []
     for v in net.topological():
@@ -151,10 +151,10 @@ def sampled(model: Model, n: int, seed: int, evidence: Mapping[str, int] | None
             state = f"CASE {at} " + " ".join(f"WHEN {k} THEN {draw(r)}" for k, r in enumerate(rows)) + " END"
         inner = f"SELECT *, CAST({state} AS INTEGER) AS {v.name} FROM ({inner})"
         names.append(v.name)
-    return f"s AS (SELECT i, {', '.join(v.name for v in net.variables)}, {' * '.join(weights) or '1e0'} AS w FROM ({inner}))"
+    return f"s AS (SELECT i, {', '.join(v.name for v in net.variables)}, {' * '.join(weights) or '1e0'} AS _w FROM ({inner}))"
 
 
 def frequencies(model: Model, source: str, digits: int = 9) -> str:
-    """(var_id, state, p): weighted shares in `source`, a table with the names and w."""
-    parts = [f"SELECT {v.id} AS var_id, d.s AS state, round(coalesce(sum(w), 0e0) / (SELECT sum(w) FROM {source}), {digits}) AS p FROM (SELECT CAST(range AS INTEGER) AS s FROM range({v.card})) d LEFT JOIN {source} x ON x.{v.name} = d.s GROUP BY d.s" for v in model.network.variables]
+    """(var_id, state, p): weighted shares in `source`, a table with the names and _w."""
+    parts = [f"SELECT {v.id} AS var_id, d.s AS state, round(coalesce(sum(_w), 0e0) / (SELECT sum(_w) FROM {source}), {digits}) AS p FROM (SELECT CAST(range AS INTEGER) AS s FROM range({v.card})) d LEFT JOIN {source} x ON x.{v.name} = d.s GROUP BY d.s" for v in model.network.variables]
     return " UNION ALL ".join(parts)
