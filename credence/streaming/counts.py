@@ -21,7 +21,7 @@ def family_counts(stream: DataFrame, families: Sequence[Family], cards: dict[str
 
 def windowed_counts(stream: DataFrame, columns: Sequence[str], time: str, window: str, late: str) -> DataFrame:
     """Contingency tables by event-time window; rows later than `late` are dropped and closed windows leave the state."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, window).alias("window"), *columns).agg(F.count("*").alias("n"))
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window).alias("window"), *columns).agg(F.count("*").alias("n"))
 
 
 def fit_stream(stream: DataFrame, network: Network, on_tables: Callable[[DataFrame, int], None], checkpoint: str, unseen: Unseen = "uniform", **trigger) -> StreamingQuery:
