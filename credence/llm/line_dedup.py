@@ -49,8 +49,8 @@ def boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text",
     return found.filter(F.col("pages") > F.lit(max_ratio) * F.col("total")).select("host", "line", "pages", "total")
 
 
-def dedup_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
-    """df with the boilerplate lines of each host taken out of its texts; _dropped has how many."""
+def dedup_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", count_col: str | None = None, **limits) -> DataFrame:
+    """df with the boilerplate lines of each host taken out of its texts; count_col, if named, has how many."""
     found = materialize(boilerplate(df, host_col, text_col, **limits).select("host", "line"), "line-boilerplate")
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(host_col).alias("_host"), _lines(F.col(text_col)).alias("_l"))
     if small(found):
@@ -62,7 +62,7 @@ def dedup_lines(df: DataFrame, host_col: str = "source", text_col: str = "text",
     else:
         out = _by_shuffle(row, found)
     text = F.when(F.size("_good") == F.size("_l"), F.col("_row")[text_col]).otherwise(F.concat_ws("\n", "_good"))
-    return out.select(*[(text if c == text_col else F.col("_row")[c]).alias(c) for c in df.columns], (F.size("_l") - F.size("_good")).alias("_dropped"))
+    return out.select(*[(text if c == text_col else F.col("_row")[c]).alias(c) for c in df.columns], *([(F.size("_l") - F.size("_good")).cast("long").alias(count_col)] if count_col else []))
 
 
 def _by_shuffle(row: DataFrame, found: DataFrame) -> DataFrame:

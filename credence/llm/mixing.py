@@ -73,6 +73,8 @@ def level(sources: DataFrame, total: float, max_epochs: float = MAX_EPOCHS) -> f
     while True:
         full = F.lit(now) * weight >= cap
         capped, free = sources.agg(F.sum(F.when(full, cap).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(weight))).first()
+        if capped is None:
+            return now
         new = (total - capped) / free if free else now
         if not free or new <= now:
             return now
@@ -113,7 +115,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     def of(epoch: Column) -> Column:
         begins = start + epoch * F.col("source_size")
         taken = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), goal - begins))
-        return let(taken, lambda k: F.struct(k.alias("taken"), _position((begins + k / 2) / F.col("target"), schedules).alias("position")))
+        return let(taken, lambda k: F.struct(k.alias("taken"), _position(F.try_divide(begins + k / 2, F.col("target")), schedules).alias("position")))
 
     copies = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max_epochs - 1).cast("long")), of), lambda c: c["taken"] > 0)
     out = summed.withColumn("copies", copies)

@@ -357,4 +357,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how)
     gone = near_duplicates(df, id_col, text_col, **how).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     gone = materialize(gone, "duplicates")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")

@@ -125,7 +125,7 @@ def graded(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE):
     """(weights, thresholds) from at most `sample` graded rows (id, grade), or None."""
     chosen = F.broadcast(grades.orderBy(F.xxhash64("id"), "grade").limit(sample))
-    rows = docs.join(chosen, F.col(id_col) == F.col("id")).select("grade", F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(chosen, F.col("doc") == F.col("id")).select("grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordFeatures()

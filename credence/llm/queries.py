@@ -20,8 +20,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), "source", "text")
-    return out.select("doc_id", F.col("_dropped").cast("long").alias("n_dropped"), F.length("text").cast("long").alias("n_chars_left"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_md5"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), "source", "text", "n_dropped")
+    return out.select("doc_id", "n_dropped", F.length("text").cast("long").alias("n_chars_left"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_md5"))
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
