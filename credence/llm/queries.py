@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, license_scan, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan, url_filter
+from . import ann, license_scan, line_dedup, mixing, near_dedup, oracles, packing, quality_model, quality_rules, secret_scan, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.array_min(F.transform("copies", lambda c: c["position"]))
     out = out.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_copies"), place.alias("position"))
     # Documents that are not taken follow, spread out by their ids, so that no range of the sort holds all of them.
+    out = out.withColumn("position", F.round("position", 6))
     return out.orderBy(F.coalesce("position", 1 + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)))
 
 
@@ -77,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
