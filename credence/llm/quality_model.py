@@ -11,8 +11,8 @@ case) and their beginnings, what hangs on words (leading and trailing signs,
 all capitals), and classes of length and of repetition, each hashed into
 `DIMENSIONS`. The model is fitted on the driver from the features of at most
 `SAMPLE` labelled rows (those with the smallest hashes of their ids). Features
-whose log odds between the top grade and the others are within `LEAST_Z`
-standard errors of none are left out, so that a few telling words are not
+whose likelihood ratio (signed root of G squared) between the top grade and the
+others is under `LEAST_G` are left out, so that a few telling words are not
 drowned in a long document. Every document is scored where it lies.
 
 Defined results for unusual input: a null or empty text has only the length
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000
 DIMENSIONS = 1 << 18
 GRADES = 3
-LEAST_Z = 4.5
-ROUNDS, RATE, PENALTY = 300, 0.3, 1e-4
+LEAST_G = 4.0
+ROUNDS, RATE, PENALTY = 400, 0.1, 1e-4
 STARTS = (4, 5)
 LEAST_TAIL = 0.5
 _CACHE = 200_000
@@ -79,9 +79,10 @@ def telling(index: np.ndarray, size: np.ndarray, grades: np.ndarray) -> np.ndarr
     n, n_top = len(grades), int(top.sum())
     with_top = np.bincount(index, weights=np.repeat(top, size), minlength=DIMENSIONS)
     with_other = np.bincount(index, minlength=DIMENSIONS) - with_top
-    cells = [with_top + 0.5, with_other + 0.5, n_top - with_top + 0.5, n - n_top - with_other + 0.5]
-    odds = np.log(cells[0] * cells[3] / (cells[1] * cells[2]))
-    return np.abs(odds) >= LEAST_Z * np.sqrt(sum(1 / c for c in cells))
+    both = with_top + with_other
+    parts = ((with_top, both * n_top / n), (with_other, both * (n - n_top) / n), (n_top - with_top, (n - both) * n_top / n), (n - n_top - with_other, (n - both) * (n - n_top) / n))
+    g = 2 * sum(seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)) for seen, expected in parts)
+    return (both > 0) & (g >= LEAST_G**2)
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +111,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = ROUNDS) -> tup
         by_s = -(above - under) / len(s)
         g = np.concatenate([np.bincount(index, weights=by_s[of], minlength=len(used)) - PENALTY * w, [by_t.sum()], steps * np.cumsum(by_t[::-1])[::-1][1:]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        p = p + RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        p = p + RATE / (1 + 4 * k / rounds) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     weights = np.zeros(DIMENSIONS)
     weights[used] = p[: len(used)]
     return weights, p[len(used)] + np.append(0, np.cumsum(np.exp(p[len(used) + 1 :])))
