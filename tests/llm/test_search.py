@@ -292,7 +292,7 @@ def test_stages_against_brute_force(spark, sf_dir, docs):
         elif name == "line_dedup":
             want = Counter(as_row(r, t) for r, t in zip(before, brute.dedup_lines([(r[3], r[1]) for r in before])))
         elif name == "near_dedup":
-            kept = brute.near({r[0]: r[1] for r in before})
+            kept = brute.near({r[0]: r[1] for r in before}, 80)
             want = Counter(r for r in before if kept[r[0]][1] == r[0])
         else:
             mixed = brute.mix([(r[0], r[3], r[1]) for r in before])
