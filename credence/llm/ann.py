@@ -185,7 +185,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
         return spark.createDataFrame([], empty)
     dim, count, most = dims.d, dims.n, float(np.sqrt(dims.m))
     rows = rows.filter(F.size("v") == dim)
-    sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").collect()])
+    sample = _vectors(rows.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toArrow().column(0).combine_chunks(), dim)
     # Few leaves make long scans, many make queries travel far: both costs of a query grow as the root of the rows.
     tree = Tree(lengthened(sample, most), max(2, len(sample) * 4 // MOST_LEAVES, int(LEAF * np.sqrt(count) * len(sample) / count)))
     sent = spark.sparkContext.broadcast(tree)
