@@ -95,7 +95,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """One row per row of df: row (a struct of the carried columns), source, size, source_size, target, taken, and copies, an array of (taken, position), one for each pass that takes words."""
     carry = [id_col] if carry is None else carry
     sized = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), digest(F.col(id_col), F.col(text_col)).alias("h"))
-    sized = materialize(sized, "sized")
+    if text_col not in carry:  # texts are read again rather than written once more
+        sized = materialize(sized, "sized")
     aims = materialize(targets(sized, weights, share, max_epochs), "targets")
     count = aims.agg(F.sum("rows")).first()[0] or 0
     per_bucket = max(ROWS_PER_BUCKET, count // MOST_BUCKETS)
