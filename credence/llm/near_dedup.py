@@ -150,6 +150,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) ->
     """Those of pairs (a, b) whose full sets are similar enough. docs: doc_id, text (binary). Partners of the same b are read next to it."""
     pairs = materialize(pairs, "candidates")
     counts = pairs.groupBy("b").count().select(F.col("b").alias("_b"), F.ceil(F.col("count") / PARTNERS).alias("_chunks"))
+    counts = materialize(counts, "partners")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
     dealt = pairs.join(counts, F.col("b") == F.col("_b")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("_chunks")).alias("chunk"))
     dealt = materialize(dealt, "pairs")
     wanted = dealt.select(F.col("a").alias("id"), "b", "chunk", F.lit(1).alias("role")).union(dealt.select(F.col("b").alias("id"), "b", "chunk", F.lit(0).alias("role")).distinct())
