@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import BROADCAST_ROWS, materialize
+
+
+def _written(least: DataFrame) -> DataFrame:
+    """The least neighbours, one row a node: sent to the edges where they are few; else joined by two plain exchanges, of which Spark can split that of a node with many edges."""
+    least = materialize(least, "least")
+    return F.broadcast(least) if least.count() <= BROADCAST_ROWS else least
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = _written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """edges go from the larger to the smaller node."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = _written(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u")
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -30,5 +36,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         roots, children = now.select(F.col("v").alias("u")).distinct(), now.select("u")
         if not now.limit(1).count() or (roots.join(children, "u", "left_semi").limit(1).count() == 0 and children.groupBy("u").count().filter("count > 1").limit(1).count() == 0):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        now = materialize(_small_star(_large_star(now)), "edges")
+        now = materialize(_large_star(now), "edges")
+        now = materialize(_small_star(now), "edges")
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")
