@@ -3,11 +3,13 @@
 Lines with a cue word, and cue lines at most `REACH` lines apart together with
 what lies between, are candidate blocks. A block is compressed by zstandard
 alone and with each license's wording as raw dictionary; the share of its size
-that a dictionary saves ranks the licenses. The best `WINNERS` are confirmed
-by exact wording: a license's statements are sought in the block word by word,
-and the words that differ are counted. A statement counts as exact without
-differences, as modified while no more than `MOST_CHANGED` of its words differ
-and none of its telling words (names, numbers) does.
+that a dictionary saves ranks the licenses, whatever the share. They are
+confirmed by exact wording: a license's statements are sought everywhere in
+the block word by word, and the words that differ are counted. A statement
+counts as exact without differences, as modified while no more than
+`MOST_CHANGED` of its words differ and none of its telling words (names,
+numbers) does. Modified wordings are sought for the best `WINNERS` and those
+exact, and for all others once one of them is confirmed.
 
 Defined results for unusual input: a null or empty text has no blocks;
 repeated rows give repeated rows; null ids are kept; other columns are ignored.
@@ -16,11 +18,11 @@ Lines are counted from 0.
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 
 REACH = 2
 WINNERS = 4
-LEAST_SAVED = 0.15
 MOST_CHANGED = 0.2
 CUES = re.compile(r"licen[sc]|copyright|all rights reserved|permission is hereby|permission to use|redistribution and use|warrant|public domain|creative commons|\bcc[ -]by|\bcc0\b|\bspdx", re.I)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -96,36 +97,86 @@ def _statements(name: str) -> tuple[tuple[tuple[str, ...], frozenset[int]], ...]
     return tuple(out)
 
 
-def _in_order(words: tuple[str, ...], block: list[str]) -> bool:
-    """Whether words stand in the block one after the other."""
-    start, n = -1, len(words)
-    while True:
-        try:
-            start = block.index(words[0], start + 1)
-        except ValueError:
-            return False
-        if tuple(block[start : start + n]) == words:
-            return True
+@cache
+def _vocabulary() -> dict[str, int]:
+    return {w: i for i, w in enumerate(sorted({w for k in LICENSES for words, _ in _statements(k) for w in words}))}
+
+
+def _exact(words: tuple[str, ...], text: str) -> list[int]:
+    """Where words stand in the text, a string of words with a blank around each; without overlaps."""
+    sought, out, at, passed = f" {' '.join(words)} ", [], 0, 0
+    while (found := text.find(sought, at)) >= 0:
+        passed += text.count(" ", at, found)
+        out.append(passed)
+        at = found + len(sought) - 1
+        passed += len(words)
+    return out
+
+
+def _modified(words: tuple[str, ...], told: frozenset[int], ids: np.ndarray, taken: list[int]) -> list[tuple[int, int, int]]:
+    """(differing words, first word, end) of every modified wording of a statement but where it stands word by word (taken), without overlaps, the least modified first.
+
+    A wording has at most as many words more or less as may differ, so each lies in a window of that length that holds enough of the statement's words; there its longest common subsequence with the statement is found.
+    """
+    n, vocabulary = len(words), _vocabulary()
+    allowed = int(n * MOST_CHANGED)
+    own, width = np.array([vocabulary[w] for w in words]), n + allowed
+    of = np.isin(ids, own)
+    held = np.concatenate([[0], np.cumsum(of), np.full(width, of.sum())])
+    fits = of & (held[width : width + len(ids)] - held[: len(ids)] >= n - allowed)
+    for at in taken:
+        fits[at : at + n] = False
+    starts = np.flatnonzero(fits)
+    padded = np.concatenate([ids, np.full(width, -1)])
+    # A telling word counts so much that no number of others makes up for it.
+    weight = np.array([1 + (1 << 16) * (k in told) for k in range(n)])
+    found = []
+    for part in range(0, len(starts), 4096):
+        begin = starts[part : part + 4096]
+        row = np.zeros((len(begin), n + 1), np.int64)
+        fewest, end = np.full(len(begin), n + 1), np.zeros(len(begin), np.int64)
+        for j in range(width):
+            same = padded[begin + j][:, None] == own
+            row[:, 1:] = np.maximum.accumulate(np.maximum(row[:, 1:], np.where(same, row[:, :-1] + weight, 0)), axis=1)
+            changed = np.where(row[:, -1] >> 16 == len(told), max(n, j + 1) - (row[:, -1] & 0xFFFF), n + 1)
+            end = np.where(changed < fewest, j + 1, end)
+            fewest = np.minimum(fewest, changed)
+        good = fewest <= allowed
+        found += zip(fewest[good].tolist(), begin[good].tolist(), (begin + end)[good].tolist())
+    out, covered = [], np.zeros(len(padded), bool)
+    for at in taken:
+        covered[at : at + n] = True
+    for d, a, b in sorted(found, key=lambda f: (f[0], f[2] - f[1], f[1])):
+        if not covered[a:b].any():
+            covered[a:b] = True
+            out.append((d, a, b))
+    return out
+
+
+class Words:
+    """The words of a block, with what the search needs of them."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.text, self.set = f" {' '.join(words)} ", set(words)
+        self.ids = np.fromiter((_vocabulary().get(w, -1) for w in words), np.int64, len(words))
+
+    def places(self, name: str, modified: bool = True) -> list[tuple[int, int, int]]:
+        """(differing words, first word, end) of each wording of the license's statements."""
+        out = []
+        for words, told in _statements(name):
+            allowed = int(len(words) * MOST_CHANGED)
+            if len(missing := set(words) - self.set) > allowed:
+                continue
+            exact = [] if missing else _exact(words, self.text)
+            out += [(0, a, a + len(words)) for a in exact]
+            if modified and allowed and not any(words[k] in missing for k in told):
+                out += _modified(words, told, self.ids, exact)
+        return out
 
 
 def differences(name: str, block: list[str]) -> int | None:
     """The fewest words in which a statement of the license differs from the block; None if none comes close."""
-    best = None
-    for words, told in _statements(name):
-        if _in_order(words, block):
-            return 0
-        allowed = int(len(words) * MOST_CHANGED)
-        if not allowed:
-            continue
-        matched = difflib.SequenceMatcher(None, block, words, autojunk=False).get_matching_blocks()
-        same = {b + k for _, b, n in matched for k in range(n)}
-        within = [a for a, _, n in matched if n]
-        ends = max((a + n for a, _, n in matched if n), default=0)
-        added = max(0, ends - min(within, default=0) - len(same))
-        changed = max(len(words) - len(same), added)
-        if told <= same and changed <= allowed and (best is None or changed < best):
-            best = changed
-    return best
+    return min((d for d, _, _ in Words(block).places(name)), default=None)
 
 
 def blocks(text: str | None) -> list[tuple[int, int, str]]:
@@ -156,14 +207,14 @@ def found_in(text: str | None) -> list[tuple[int, int, str, float, int]]:
                 one = len(plain.compress(line.encode()))
                 for k, c in by_license.items():
                     saved[k] = max(saved[k], 1 - len(c.compress(line.encode())) / one)
-        ranked = sorted((k for k in saved if saved[k] >= LEAST_SAVED), key=lambda k: (-saved[k], k))
-        words = [w.lower() for w in _WORD.findall(block)]
+        ranked = sorted(saved, key=lambda k: (-saved[k], k))
+        words = Words([w.lower() for w in _WORD.findall(block)])
         confirmed = 0
-        for k in ranked:
-            d = differences(k, words) if confirmed or ranked.index(k) < WINNERS else None
-            if d is not None:
+        for place, k in enumerate(ranked):
+            hits = words.places(k, modified=confirmed > 0 or place < WINNERS)
+            if hits:
                 confirmed += 1
-                out.append((first, end, k, round(saved[k], 4), d))
+                out.append((first, end, k, round(saved[k], 4), min(d for d, _, _ in hits)))
     return out
 
 

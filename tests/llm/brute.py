@@ -53,6 +53,23 @@ def dedup_lines(rows, ratio=line_dedup.MAX_RATIO, min_pages=line_dedup.MIN_PAGES
     return [t if not any((h, x) in bad for x in (t or "").split("\n")) else "\n".join(x for x in t.split("\n") if (h, x) not in bad) for h, t in rows]
 
 
+def license_differences(statements, block, most):
+    """The fewest words by which a run of the block differs from a statement whose telling words all stand in it."""
+    best = None
+    for s, told in statements:
+        for a in range(len(block)):
+            row = [(0, 0)] * (len(s) + 1)  # telling words, words of the longest common subsequence
+            for b in range(a, min(len(block), a + 2 * len(s))):
+                new = [(0, 0)]
+                for k, w in enumerate(s):
+                    new.append(max(new[k], row[k + 1], (row[k][0] + (k in told), row[k][1] + 1) if w == block[b] else (0, 0)))
+                row = new
+                d = max(len(s), b - a + 1) - row[-1][1]
+                if row[-1][0] == len(told) and d <= int(len(s) * most) and (best is None or d < best):
+                    best = d
+    return best
+
+
 def shingles(text):
     w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()

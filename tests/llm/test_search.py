@@ -272,6 +272,26 @@ def test_planted_license_lines(docs):
         assert got[i] == {k for x, k in lines.items() if x in text}
 
 
+@pytest.mark.parametrize("notice, name, changed", [("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0", 0), ("Released under the MIT License.", "MIT", 0), ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0", 0), ("Permission to use, copy, modify, or distribute this software for any purpose, with or without fee, is granted", "ISC", 2)])
+@pytest.mark.parametrize("length", [60, 500, 20_000])
+def test_notice_inside_a_longer_line(docs, notice, name, changed, length):
+    prose = " ".join(t for (t,) in rows_of(docs.filter("lang = 'en'").orderBy("doc_id"), "text") if t and not license_scan.CUES.search(t)).replace("\n", " ")
+    text = f"{prose[:length]} {notice} {prose[length : 2 * length]}"
+    assert [(k, d) for _, _, k, _, d in license_scan.found_in(text)] == [(name, changed)]
+
+
+def test_fewest_differences_against_enumeration():
+    rng = np.random.default_rng(5)
+    for name in ("CC-BY-4.0", "BSD-2-Clause", "Unlicense", "MPL-2.0"):
+        longest, told = max(license_scan._statements(name), key=lambda s: len(s[0]))
+        for _ in range(20):
+            words = [w for w in longest if rng.random() > 0.1 or w in {longest[k] for k in told}]
+            for at in rng.integers(0, len(words) + 1, 2):
+                words.insert(at, str(rng.choice(["new", longest[0], longest[-1]])))
+            block = list(rng.choice(longest, 4)) + words + list(rng.choice(longest, 4))
+            assert license_scan.differences(name, block) == brute.license_differences(license_scan._statements(name), block, license_scan.MOST_CHANGED)
+
+
 # --- the pipeline
 
 
