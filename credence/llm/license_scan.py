@@ -8,8 +8,7 @@ confirmed by exact wording: a license's statements are sought everywhere in
 the block word by word, and the words that differ are counted. A statement
 counts as exact without differences, as modified while no more than
 `MOST_CHANGED` of its words differ and none of its telling words (names,
-numbers) does. Modified wordings are sought for the best `WINNERS` and those
-exact, and for all others once one of them is confirmed.
+numbers) does.
 
 Defined results for unusual input: a null or empty text has no blocks;
 repeated rows give repeated rows; null ids are kept; other columns are ignored.
@@ -29,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REACH = 2
-WINNERS = 4
 MOST_CHANGED = 0.2
 CUES = re.compile(r"licen[sc]|copyright|all rights reserved|permission is hereby|permission to use|redistribution and use|warrant|public domain|creative commons|\bcc[ -]by|\bcc0\b|\bspdx", re.I)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -160,7 +158,7 @@ class Words:
         self.text, self.set = f" {' '.join(words)} ", set(words)
         self.ids = np.fromiter((_vocabulary().get(w, -1) for w in words), np.int64, len(words))
 
-    def places(self, name: str, modified: bool = True) -> list[tuple[int, int, int]]:
+    def places(self, name: str) -> list[tuple[int, int, int]]:
         """(differing words, first word, end) of each wording of the license's statements."""
         out = []
         for words, told in _statements(name):
@@ -169,7 +167,7 @@ class Words:
                 continue
             exact = [] if missing else _exact(words, self.text)
             out += [(0, a, a + len(words)) for a in exact]
-            if modified and allowed and not any(words[k] in missing for k in told):
+            if allowed and not any(words[k] in missing for k in told):
                 out += _modified(words, told, self.ids, exact)
         return out
 
@@ -209,11 +207,9 @@ def found_in(text: str | None) -> list[tuple[int, int, str, float, int]]:
                     saved[k] = max(saved[k], 1 - len(c.compress(line.encode())) / one)
         ranked = sorted(saved, key=lambda k: (-saved[k], k))
         words = Words([w.lower() for w in _WORD.findall(block)])
-        confirmed = 0
-        for place, k in enumerate(ranked):
-            hits = words.places(k, modified=confirmed > 0 or place < WINNERS)
+        for k in ranked:
+            hits = words.places(k)
             if hits:
-                confirmed += 1
                 out.append((first, end, k, round(saved[k], 4), min(d for d, _, _ in hits)))
     return out
 

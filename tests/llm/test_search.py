@@ -292,6 +292,17 @@ def test_fewest_differences_against_enumeration():
             assert license_scan.differences(name, block) == brute.license_differences(license_scan._statements(name), block, license_scan.MOST_CHANGED)
 
 
+@pytest.mark.parametrize(
+    "text, changed",
+    [
+        ("This work is licensed under a Creative Commons CC0 1.0 Universal License.", 0), ("This work is licensed under a Creative Commons license and dedicated to the public domain by CC0.", 1),
+        ("Under a Creative Commons license, this work is dedicated to a public domain under CC0.", 1),
+    ],
+)
+def test_licenses_that_others_outrank(text, changed):
+    assert [(k, d) for _, _, k, _, d in license_scan.found_in(text)] == [("CC0-1.0", changed)]
+
+
 # --- the pipeline
 
 
