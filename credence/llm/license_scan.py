@@ -1,25 +1,30 @@
 """License scan by conditional compression.
 
-Lines with a cue word, and cue lines at most `REACH` lines apart together with
-what lies between, are candidate blocks. A block is compressed by zstandard
-alone and with each license's wording as raw dictionary; the share of its size
-that a dictionary saves ranks the licenses, whatever the share. They are
-confirmed by exact wording: a license's statements are sought everywhere in
-the block word by word, and the words that differ are counted. A statement
-counts as exact without differences, as modified while no more than
-`MOST_CHANGED` of its words differ and none of its telling words (names,
-numbers) does.
-
-Defined results for unusual input: a null or empty text has no blocks;
+Each license's statements are sought in the whole text word by word, whatever
+its lines, and the words that differ are counted. A statement counts as exact
+without differences, as modified while no more than `MOST_CHANGED` of its words
+differ and none of its telling words (names, numbers) does. Only texts that
+lack more of a statement's words than may differ are passed over before they
+are split into words.
+
+The lines of a found wording, lines with a cue word, and such lines at most
+`REACH` lines apart together with what lies between, are a block. A block is
+compressed by zstandard alone and with each found license's wording as raw
+dictionary; the share of its size that a dictionary saves ranks the licenses.
+
+Defined results for unusual input: a null or empty text has no licenses;
 repeated rows give repeated rows; null ids are kept; other columns are ignored.
 Lines are counted from 0.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -85,13 +90,13 @@ def _statements(name: str) -> tuple[tuple[tuple[str, ...], frozenset[int]], ...]
     """Each statement as words, and the places of its telling words."""
     out = []
     for s in LICENSES[name]:
-        told, words = set(), []
-        for part in re.split(r"(\{[^}]*\})", s):
-            found = [w.lower() for w in _WORD.findall(part)]
-            if part.startswith("{"):
-                told.update(range(len(words), len(words) + len(found)))
-            words += found
-        out.append((tuple(words), frozenset(told)))
+        # Braces fall away before words are split, as a telling word can be a part of one (www.{apache}.org).
+        parts = re.split(r"[{}]", s)
+        ends = np.cumsum([len(p) for p in parts])
+        marked = [(int(e) - len(p), int(e)) for p, e in zip(parts[1::2], ends[1::2])]
+        found = list(_WORD.finditer("".join(parts)))
+        told = frozenset(k for k, w in enumerate(found) if any(w.start() < e and b < w.end() for b, e in marked))
+        out.append((tuple(w.group().lower() for w in found), told))
     return tuple(out)
 
 
@@ -151,8 +156,21 @@ def _modified(words: tuple[str, ...], told: frozenset[int], ids: np.ndarray, tak
     return out
 
 
+@cache
+def _needed(name: str) -> tuple[tuple[tuple[str, ...], tuple[str, ...], int], ...]:
+    """For each statement its telling words, its other words (long ones first, as they are rare) and how many of those a text may lack."""
+    by_length = lambda w: (-len(w), w)
+    of = [(words, {words[k] for k in told}) for words, told in _statements(name)]
+    return tuple((tuple(sorted(told, key=by_length)), tuple(sorted(set(words) - told, key=by_length)), int(len(words) * MOST_CHANGED)) for words, told in of)
+
+
+def _may_hold(name: str, held: str | set[str]) -> list[bool]:
+    """Which of the license's statements a text, in lower case, or a set of words may hold, as it has their words."""
+    return [all(w in held for w in told) and next(islice((w for w in rest if w not in held), lacks, None), None) is None for told, rest, lacks in _needed(name)]
+
+
 class Words:
-    """The words of a block, with what the search needs of them."""
+    """The words of a text, with what the search needs of them."""
 
     def __init__(self, words: list[str]) -> None:
         self.text, self.set = f" {' '.join(words)} ", set(words)
@@ -161,14 +179,11 @@ class Words:
     def places(self, name: str) -> list[tuple[int, int, int]]:
         """(differing words, first word, end) of each wording of the license's statements."""
         out = []
-        for words, told in _statements(name):
-            allowed = int(len(words) * MOST_CHANGED)
-            if len(missing := set(words) - self.set) > allowed:
-                continue
-            exact = [] if missing else _exact(words, self.text)
-            out += [(0, a, a + len(words)) for a in exact]
-            if allowed and not any(words[k] in missing for k in told):
-                out += _modified(words, told, self.ids, exact)
+        for (words, told), may in zip(_statements(name), _may_hold(name, self.set)):
+            if may:
+                exact = _exact(words, self.text)
+                out += [(0, a, a + len(words)) for a in exact]
+                out += _modified(words, told, self.ids, exact) if int(len(words) * MOST_CHANGED) else []
         return out
 
 
@@ -177,41 +192,48 @@ def differences(name: str, block: list[str]) -> int | None:
     return min((d for d, _, _ in Words(block).places(name)), default=None)
 
 
-def blocks(text: str | None) -> list[tuple[int, int, str]]:
-    """(first line, line after the last, text) of the candidate blocks."""
-    if not text or not CUES.search(text):
-        return []
-    lines, out = text.split("\n"), []
-    for i, line in enumerate(lines):
-        if CUES.search(line):
-            if out and i - out[-1][1] <= REACH:
-                out[-1][1] = i + 1
-            else:
-                out.append([i, i + 1])
-    return [(a, b, "\n".join(lines[a:b])) for a, b in out]
+def blocks(lines: list[str], found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of the blocks of cue lines and of the found (first line, line after the last)."""
+    out = []
+    for first, end in sorted([*found, *((i, i + 1) for i, line in enumerate(lines) if CUES.search(line))]):
+        if out and first - out[-1][1] <= REACH:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([first, end])
+    return [(a, b) for a, b in out]
 
 
 def found_in(text: str | None) -> list[tuple[int, int, str, float, int]]:
     """(first line, end, license, share saved, differing words) for each confirmed license of each block."""
-    out = []
-    for first, end, block in blocks(text):
-        plain, by_license = _compressors()
-        raw = block.encode()
+    low = (text or "").lower()
+    names = [k for k in LICENSES if any(_may_hold(k, low))]
+    if not names:
+        return []
+    lines = text.split("\n")
+    split = [[w.lower() for w in _WORD.findall(line)] for line in lines]
+    line_of = [i for i, line in enumerate(split) for _ in line]
+    words = Words([w for line in split for w in line])
+    hits = [(line_of[a], line_of[b - 1] + 1, k, d) for k in names for d, a, b in words.places(k)]
+    if not hits:
+        return []
+    spans, fewest = blocks(lines, [h[:2] for h in hits]), {}
+    for first, _, k, d in hits:
+        of = fewest.setdefault(spans[bisect_right(spans, first, key=lambda s: s[0]) - 1], {})
+        of[k] = min(d, of.get(k, d))
+    return [(*span, k, share, fewest[span][k]) for span in sorted(fewest) for k, share in _ranked(lines[span[0] : span[1]], fewest[span])]
+
+
+def _ranked(block: list[str], names: Iterable[str]) -> list[tuple[str, float]]:
+    """(license, share of the block's compressed size that its dictionary saves), the most first."""
+    plain, by_license = _compressors()
+    saved = dict.fromkeys(names, -math.inf)
+    # A long block hides what a short notice saves, so each of its cue lines is ranked too.
+    for part in ["\n".join(block), *(line for line in block if len(block) > 1 and CUES.search(line))]:
+        raw = part.encode()
         alone = len(plain.compress(raw))
-        saved = {k: 1 - len(c.compress(raw)) / alone for k, c in by_license.items()}
-        # A long block hides what a short notice saves, so each of its cue lines is ranked too.
-        for line in block.split("\n") if "\n" in block else ():
-            if CUES.search(line):
-                one = len(plain.compress(line.encode()))
-                for k, c in by_license.items():
-                    saved[k] = max(saved[k], 1 - len(c.compress(line.encode())) / one)
-        ranked = sorted(saved, key=lambda k: (-saved[k], k))
-        words = Words([w.lower() for w in _WORD.findall(block)])
-        for k in ranked:
-            hits = words.places(k)
-            if hits:
-                out.append((first, end, k, round(saved[k], 4), min(d for d, _, _ in hits)))
-    return out
+        for k in saved:
+            saved[k] = max(saved[k], 1 - len(by_license[k].compress(raw)) / alone)
+    return sorted(((k, round(x, 4)) for k, x in saved.items()), key=lambda r: (-saved[r[0]], r[0]))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -303,6 +303,40 @@ def test_licenses_that_others_outrank(text, changed):
     assert [(k, d) for _, _, k, _, d in license_scan.found_in(text)] == [("CC0-1.0", changed)]
 
 
+GPL_HEADER = """A tool that sorts things
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program."""
+
+
+@pytest.mark.parametrize("before", ["", "# ", " * "])
+def test_wrapped_header(before):
+    text = "\n".join(before + line for line in GPL_HEADER.split("\n"))
+    assert [(a, b, k, d) for a, b, k, _, d in license_scan.found_in(text)] == [(1, 12, "GPL-3.0", 0)]
+    assert [(k, d) for _, _, k, _, d in license_scan.found_in("\n\n\n".join(text.split()))] == [("GPL-3.0", 0)]
+
+
+def test_statements_without_a_cue():
+    for name, said in license_scan.LICENSES.items():
+        for s in said:
+            plain = s.replace("{", "").replace("}", "")
+            for text in (plain, f"one\ntwo\n{plain}\nthree", "\n".join(plain.split())):
+                assert (name, 0) in [(k, d) for _, _, k, _, d in license_scan.found_in(text)], text
+    assert [f[:3] for f in license_scan.found_in("one\ntwo\nDistributed under GPLv3.\nthree\n\n\nMPL-2.0")] == [(2, 3, "GPL-3.0"), (6, 7, "MPL-2.0")]
+    assert license_scan.found_in("GPL-3.05 and xGPLv3 or BSD-3") == []
+    granted = license_scan.LICENSES["MIT"][-1].replace("is hereby", "is").replace("sublicense", "lend")
+    assert not license_scan.CUES.search(granted) and [(k, d) for _, _, k, _, d in license_scan.found_in(granted)] == [("MIT", 2)]
+
+
 # --- the pipeline
 
 
