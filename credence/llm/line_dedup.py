@@ -8,9 +8,10 @@ when the boilerplate found is small (its rows are counted), and once when not.
 
 Defined results for unusual input: null hosts form one site; a null or empty
 text has no lines and passes unchanged; lines without a word are never
-counted or dropped; repeated rows count as pages of their own; hosts with
-fewer than `min_pages` pages, and lines on fewer than `min_count` pages, lose
-nothing; other columns pass through whatever their names.
+counted or dropped; repeated rows count as pages of their own; a line on one
+page of its host stays, as no ratio means anything there, and from two pages on
+the ratio alone decides at every size of a host (`min_pages` and `min_count`
+can ask for more); other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, let, materialize, small
 
 MAX_RATIO = 0.1
-MIN_PAGES = 20
-MIN_COUNT = 5
+MIN_PAGES = 2
+MIN_COUNT = 2
 
 
 def _has_word(line: Column) -> Column:

@@ -66,6 +66,18 @@ def test_lines(odd_docs, docs):
             assert Counter(rows_of(got, "source", "text", "doc_id")) == Counter((s, t, i) for (s, _, i), t in zip(rows, want))
 
 
+def test_lines_on_hosts_of_all_sizes(spark):
+    size = {"one": 1, "two": 2, "ten": 10, "nineteen": 19, "twenty": 20, "thirty": 30}
+    on = {"both": 2, "all": 100, "three": 3, "four": 4}
+    pages = [(h, i, "\n".join([f"{h} {i}", *(x for x, k in on.items() if i < k)])) for h, n in size.items() for i in range(n)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(pages, "source string, doc_id int, text string"), count_col="n")
+    left = {h: Counter() for h in size}
+    for h, t, n in rows_of(out, "source", "text", "n"):
+        left[h].update(t.split("\n")[1:])
+    everywhere = dict.fromkeys(on, 1)
+    assert left == {"one": everywhere, "two": {}, "ten": {}, "nineteen": {}, "twenty": {"both": 2}, "thirty": {"both": 2, "three": 3}}
+
+
 def test_lines_by_shuffle(docs, monkeypatch):
     limits = {"max_ratio": 0.0, "min_pages": 1, "min_count": 2}
     want = Counter(rows_of(line_dedup.dedup_lines(docs, **limits), "doc_id", "text"))
