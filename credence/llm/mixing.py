@@ -92,7 +92,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs:
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, schedules=SCHEDULES, carry: list[str] | None = None) -> DataFrame:
-    """One row per row of df: row (a struct of the carried columns), source, size, source_size, target, taken, and copies, an array of (taken, position), one for each pass that takes words."""
+    """One row per row of df: row (a struct of the carried columns), source, size, source_size, target, taken, and copies, an array of (taken, position, begins: the source's words before it), one for each pass that takes words."""
     carry = [id_col] if carry is None else carry
     sized = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), digest(F.col(id_col), F.col(text_col)).alias("h"))
     if text_col not in carry:  # texts are read again rather than written once more
@@ -116,7 +116,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     def of(epoch: Column) -> Column:
         begins = start + epoch * F.col("source_size")
         taken = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), goal - begins))
-        return let(taken, lambda k: F.struct(k.alias("taken"), _position(F.try_divide(begins + k / 2, F.col("target")), schedules).alias("position")))
+        return let(taken, lambda k: F.struct(k.alias("taken"), _position(F.try_divide(begins + k / 2, F.col("target")), schedules).alias("position"), begins.alias("begins")))
 
     copies = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max_epochs - 1).cast("long")), of), lambda c: c["taken"] > 0)
     out = summed.withColumn("copies", copies)
@@ -132,7 +132,7 @@ def _position(u: Column, schedules) -> Column:
 
 
 def schedule_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of df in training order, each as often as it is taken; a last pass that takes less than half of a document leaves it out."""
+    """The rows of df in training order, each as often as it is taken; a last pass that takes less than half of a document leaves it out, unless it is the source's first and nothing else would stay of that source."""
     mixed = mix(df, id_col, text_col, source_col, carry=df.columns, **how)
-    one = mixed.select("row", "size", F.explode("copies").alias("c")).filter(F.col("c.taken") * 2 >= F.col("size"))
+    one = mixed.select("row", "size", F.explode("copies").alias("c")).filter((F.col("c.taken") * 2 >= F.col("size")) | (F.col("c.begins") == 0))
     return one.orderBy("c.position").select(*[F.col("row")[c].alias(c) for c in df.columns])

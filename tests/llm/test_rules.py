@@ -148,6 +148,16 @@ def test_curriculum_order(docs):
     assert Counter(i for (i,) in out) == +want
 
 
+def test_every_source_with_a_target_stays_in_the_mix(spark):
+    rows = [(1, "a", "w " * 4000), (2, "b", "w " * 100), (3, "b", "w " * 90), (4, "c", "w " * 9000), (5, "d", ""), (6, "e", "w " * 9000), (7, "e", "w " * 9000)]
+    df = spark.createDataFrame(rows, "doc_id int, source string, text string")
+    how = {"weights": (1.0,), "share": 0.05}
+    mixed = {r.source: r for r in mixing.mix(df, **how).collect()}
+    assert 0 < mixed["c"].target < 4500 and 0 < mixed["a"].target < 2000  # under half of their only documents
+    kept = Counter(rows_of(mixing.schedule_documents(df, **how), "source"))
+    assert set(kept) == {("a",), ("b",), ("c",), ("e",)} and kept["e",] == 1
+
+
 def test_positions_invert_the_schedule(spark):
     for s in mixing.SCHEDULES:
         df = spark.range(0, 101).select((F.col("id") / 100).alias("u"), mixing.position(F.col("id") / 100, s).alias("p"))
