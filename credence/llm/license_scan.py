@@ -1,28 +1,32 @@
 """License scan by conditional compression.
 
-Each license's statements are sought in the whole text word by word, whatever
-its lines, and the words that differ are counted. A statement counts as exact
+A window of words can hold a statement of a license, exact or modified, only
+if enough of its words are the statement's. The lines of such windows, lines
+with a cue word, and such lines at most `REACH` lines apart together with what
+lies between, are candidate blocks. A block is compressed by zstandard alone
+and with the wording of each license as raw dictionary; the share of its size
+that a dictionary saves ranks the licenses.
+
+All licenses are then confirmed in that order, without a cap, by the words in
+which the block differs from their statements: a statement counts as exact
 without differences, as modified while no more than `MOST_CHANGED` of its words
 differ and none of its telling words (names, numbers) does. Only texts that
 lack more of a statement's words than may differ are passed over before they
 are split into words.
 
-The lines of a found wording, lines with a cue word, and such lines at most
-`REACH` lines apart together with what lies between, are a block. A block is
-compressed by zstandard alone and with each found license's wording as raw
-dictionary; the share of its size that a dictionary saves ranks the licenses.
-
-Defined results for unusual input: a null or empty text has no licenses;
-repeated rows give repeated rows; null ids are kept; other columns are ignored.
-Lines are counted from 0.
+Defined results for unusual input: a null or empty text has no licenses; a very
+long text is scanned whole, in chunks of windows; licenses that save the same
+share are ordered by name, and of equally modified wordings that overlap the
+shorter, then the first, counts; an empty table gives an empty result; repeated
+rows give repeated rows; null ids are kept; other columns are ignored whatever
+their names. Lines are counted from 0.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
 from itertools import islice
 
@@ -39,7 +43,7 @@ _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: Statements of each license, the telling words in braces.
 LICENSES = {
     "MIT": (
-        "Released under the {MIT} License", "Licensed under the {MIT} License", "{MIT} License",
+        "Released under the {MIT} License", "Licensed under the {MIT} License", "{MIT} License", "Licensed under {MIT}", "Licensed under the {MIT}", "SPDX-License-Identifier: {MIT}", "{Apache-2.0} OR {MIT}",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     ),
     "Apache-2.0": (
@@ -47,15 +51,17 @@ LICENSES = {
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.{apache}.org/licenses/LICENSE-{2.0}",
     ),
     "GPL-3.0": (
-        "This work is licensed under the {GNU} {General} Public License, version {3}", "{GNU} {General} Public License version {3}", "{GPL-3.0}", "{GPLv3}",
+        "This work is licensed under the {GNU} {General} Public License, version {3}", "{GNU} {General} Public License version {3}", "{GPL-3.0}", "{GPL-3.0-only}", "{GPL-3.0-or-later}", "{GPLv3}",
         "This program is free software: you can redistribute it and/or modify it under the terms of the {GNU} {General} Public License as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version",
     ),
     "GPL-2.0": (
-        "This work is licensed under the {GNU} {General} Public License, version {2}", "{GNU} {General} Public License version {2}", "{GPL-2.0}", "{GPLv2}",
+        "This work is licensed under the {GNU} {General} Public License, version {2}", "{GNU} {General} Public License version {2}", "{GPL-2.0}", "{GPL-2.0-only}", "{GPL-2.0-or-later}", "{GPLv2}",
         "This program is free software; you can redistribute it and/or modify it under the terms of the {GNU} {General} Public License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version",
     ),
-    "LGPL-3.0": ("{GNU} {Lesser} General Public License, version {3}", "{LGPL-3.0}", "{LGPLv3}"),
-    "AGPL-3.0": ("{GNU} {Affero} General Public License, version {3}", "{AGPL-3.0}", "{AGPLv3}"),
+    "GPL": ("Licensed under the {GPL}", "Licensed under {GPL}", "Released under the {GPL}", "Distributed under the {GPL}", "Licensed under the {GNU} {GPL}"),
+    "LGPL-3.0": ("{GNU} {Lesser} General Public License, version {3}", "{LGPL-3.0}", "{LGPL-3.0-only}", "{LGPL-3.0-or-later}", "{LGPLv3}"),
+    "LGPL-2.1": ("{GNU} {Lesser} General Public License, version {2.1}", "{LGPL-2.1}", "{LGPL-2.1-only}", "{LGPL-2.1-or-later}", "{LGPLv2.1}"),
+    "AGPL-3.0": ("{GNU} {Affero} General Public License, version {3}", "{AGPL-3.0}", "{AGPL-3.0-only}", "{AGPL-3.0-or-later}", "{AGPLv3}"),
     "BSD-3-Clause": (
         "Licensed under the {BSD} {3-Clause} License", "{BSD-3-Clause}",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
@@ -64,15 +70,18 @@ LICENSES = {
         "Licensed under the {BSD} {2-Clause} License", "{BSD-2-Clause}", "Licensed under the {BSD} License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ),
-    "ISC": ("Licensed under the {ISC} License", "{ISC} License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    "ISC": ("Licensed under the {ISC} License", "{ISC} License", "SPDX-License-Identifier: {ISC}", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the {Mozilla} Public License, v. {2.0}", "{Mozilla} Public License Version {2.0}", "{MPL-2.0}"),
+    "EPL-2.0": ("{Eclipse} Public License, Version {2.0}", "{Eclipse} Public License - v {2.0}", "{EPL-2.0}"),
+    "EPL-1.0": ("{Eclipse} Public License, Version {1.0}", "{Eclipse} Public License - v {1.0}", "{EPL-1.0}"),
+    "BSL-1.0": ("Distributed under the {Boost} Software License, Version {1.0}", "{Boost} Software License, Version {1.0}", "{BSL-1.0}"),
     "CC-BY-4.0": ("Licensed under {CC} {BY} {4.0}", "This work is licensed under a Creative Commons {Attribution} {4.0} International License", "{CC-BY-4.0}"),
     "CC-BY-SA-4.0": ("Licensed under {CC} {BY-SA} {4.0}", "This work is licensed under a Creative Commons {Attribution-ShareAlike} {4.0} International License", "{CC-BY-SA-4.0}"),
     "CC-BY-NC-4.0": ("Licensed under {CC} {BY-NC} {4.0}", "This work is licensed under a Creative Commons {Attribution-NonCommercial} {4.0} International License", "{CC-BY-NC-4.0}"),
     "CC-BY-ND-4.0": ("Licensed under {CC} {BY-ND} {4.0}", "This work is licensed under a Creative Commons {Attribution-NoDerivatives} {4.0} International License", "{CC-BY-ND-4.0}"),
     "CC0-1.0": ("{CC0} {1.0} Universal", "Dedicated to the public domain under {CC0}", "{CC0-1.0}"),
-    "Unlicense": ("This is free and unencumbered software released into the public domain", "Licensed under the {Unlicense}"),
-    "Zlib": ("Licensed under the {zlib} License", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain", "Licensed under the {Unlicense}", "SPDX-License-Identifier: {Unlicense}"),
+    "Zlib": ("Licensed under the {zlib} License", "SPDX-License-Identifier: {Zlib}", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
     "All-rights-reserved": ("All rights {reserved}",),
 }
 
@@ -116,20 +125,32 @@ def _exact(words: tuple[str, ...], text: str) -> list[int]:
     return out
 
 
+def _own(words: tuple[str, ...], ids: np.ndarray) -> np.ndarray:
+    vocabulary = _vocabulary()
+    return np.isin(ids, np.array([vocabulary[w] for w in words]))
+
+
+def _starts(words: tuple[str, ...], ids: np.ndarray) -> np.ndarray:
+    """Where a wording of a statement may begin: at a word of its own, with enough of them in the window that follows. A wording has at most as many words more or less as may differ."""
+    n, of = len(words), _own(words, ids)
+    allowed = int(n * MOST_CHANGED)
+    held = np.concatenate([[0], np.cumsum(of), np.full(n + allowed, of.sum())])
+    return np.flatnonzero(of & (held[n + allowed : n + allowed + len(ids)] - held[: len(ids)] >= n - allowed))
+
+
 def _modified(words: tuple[str, ...], told: frozenset[int], ids: np.ndarray, taken: list[int]) -> list[tuple[int, int, int]]:
     """(differing words, first word, end) of every modified wording of a statement but where it stands word by word (taken), without overlaps, the least modified first.
 
-    A wording has at most as many words more or less as may differ, so each lies in a window of that length that holds enough of the statement's words; there its longest common subsequence with the statement is found.
+    In each window that may hold one its longest common subsequence with the statement is found.
     """
     n, vocabulary = len(words), _vocabulary()
     allowed = int(n * MOST_CHANGED)
     own, width = np.array([vocabulary[w] for w in words]), n + allowed
-    of = np.isin(ids, own)
-    held = np.concatenate([[0], np.cumsum(of), np.full(width, of.sum())])
-    fits = of & (held[width : width + len(ids)] - held[: len(ids)] >= n - allowed)
+    free = np.ones(len(ids), bool)
     for at in taken:
-        fits[at : at + n] = False
-    starts = np.flatnonzero(fits)
+        free[at : at + n] = False
+    starts = _starts(words, ids)
+    starts = starts[free[starts]]
     padded = np.concatenate([ids, np.full(width, -1)])
     # A telling word counts so much that no number of others makes up for it.
     weight = np.array([1 + (1 << 16) * (k in told) for k in range(n)])
@@ -176,20 +197,32 @@ class Words:
         self.text, self.set = f" {' '.join(words)} ", set(words)
         self.ids = np.fromiter((_vocabulary().get(w, -1) for w in words), np.int64, len(words))
 
-    def places(self, name: str) -> list[tuple[int, int, int]]:
-        """(differing words, first word, end) of each wording of the license's statements."""
-        out = []
-        for (words, told), may in zip(_statements(name), _may_hold(name, self.set)):
-            if may:
-                exact = _exact(words, self.text)
-                out += [(0, a, a + len(words)) for a in exact]
-                out += _modified(words, told, self.ids, exact) if int(len(words) * MOST_CHANGED) else []
+    def _held(self, name: str) -> list[tuple[tuple[str, ...], frozenset[int]]]:
+        return [s for s, may in zip(_statements(name), _may_hold(name, self.set)) if may]
+
+    def windows(self, name: str) -> list[tuple[int, int]]:
+        """(first word, end) of the windows that may hold a statement of the license, joined where they touch; they end with a word of it."""
+        out: list[tuple[int, int]] = []
+        for words, _ in self._held(name):
+            width, at = len(words) + int(len(words) * MOST_CHANGED), _starts(words, self.ids)
+            if len(at):
+                of, breaks = np.flatnonzero(_own(words, self.ids)), np.flatnonzero(np.diff(at) > width)
+                ends = of[np.searchsorted(of, at + width) - 1] + 1
+                out += [(int(at[a]), int(ends[b])) for a, b in zip([0, *(breaks + 1)], [*breaks, len(at) - 1])]
         return out
 
+    def wordings(self, name: str) -> Iterator[int]:
+        """The differing words of each wording of the license's statements."""
+        for words, told in self._held(name):
+            exact = _exact(words, self.text)
+            yield from [0] * len(exact)
+            if int(len(words) * MOST_CHANGED):
+                yield from (d for d, _, _ in _modified(words, told, self.ids, exact))
+
 
-def differences(name: str, block: list[str]) -> int | None:
+def differences(name: str, block: list[str] | Words) -> int | None:
     """The fewest words in which a statement of the license differs from the block; None if none comes close."""
-    return min((d for d, _, _ in Words(block).places(name)), default=None)
+    return min((block if isinstance(block, Words) else Words(block)).wordings(name), default=None)
 
 
 def blocks(lines: list[str], found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -213,20 +246,19 @@ def found_in(text: str | None) -> list[tuple[int, int, str, float, int]]:
     split = [[w.lower() for w in _WORD.findall(line)] for line in lines]
     line_of = [i for i, line in enumerate(split) for _ in line]
     words = Words([w for line in split for w in line])
-    hits = [(line_of[a], line_of[b - 1] + 1, k, d) for k in names for d, a, b in words.places(k)]
-    if not hits:
-        return []
-    spans, fewest = blocks(lines, [h[:2] for h in hits]), {}
-    for first, _, k, d in hits:
-        of = fewest.setdefault(spans[bisect_right(spans, first, key=lambda s: s[0]) - 1], {})
-        of[k] = min(d, of.get(k, d))
-    return [(*span, k, share, fewest[span][k]) for span in sorted(fewest) for k, share in _ranked(lines[span[0] : span[1]], fewest[span])]
+    windows = [(line_of[a], line_of[b - 1] + 1) for k in names for a, b in words.windows(k)]
+    out = []
+    for first, end in blocks(lines, windows) if windows else []:
+        own = Words([w for line in split[first:end] for w in line])
+        held = [k for k in names if any(_may_hold(k, own.set))]
+        out += [(first, end, k, share, d) for k, share in (_ranked(lines[first:end]) if held else []) if k in held and (d := differences(k, own)) is not None]
+    return out
 
 
-def _ranked(block: list[str], names: Iterable[str]) -> list[tuple[str, float]]:
+def _ranked(block: list[str]) -> list[tuple[str, float]]:
     """(license, share of the block's compressed size that its dictionary saves), the most first."""
     plain, by_license = _compressors()
-    saved = dict.fromkeys(names, -math.inf)
+    saved = dict.fromkeys(LICENSES, -math.inf)
     # A long block hides what a short notice saves, so each of its cue lines is ranked too.
     for part in ["\n".join(block), *(line for line in block if len(block) > 1 and CUES.search(line))]:
         raw = part.encode()

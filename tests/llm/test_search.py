@@ -292,6 +292,35 @@ def test_fewest_differences_against_enumeration():
             assert license_scan.differences(name, block) == brute.license_differences(license_scan._statements(name), block, license_scan.MOST_CHANGED)
 
 
+def test_every_license_tried_on_every_text():
+    """What the windows, the ranking and the confirmation find is what trying each license on all words finds."""
+    rng = np.random.default_rng(6)
+    short = [(k, words) for k in license_scan.LICENSES for words, _ in license_scan._statements(k) if len(words) < 16]
+    met = Counter()
+    for _ in range(120):
+        said = []
+        for pick in rng.choice(len(short), 3):
+            words = [w for w in short[pick][1] if rng.random() > 0.08]
+            said += [*words, *rng.choice(["license", "under", "the", "public", "and", "x", "\n", "\n\n\n\n"], 4)]
+        text = " ".join(said).replace(" \n", "\n")
+        words = [w.lower() for w in license_scan._WORD.findall(text)]
+        found = {}
+        for _, _, k, _, d in license_scan.found_in(text):
+            found[k] = min(d, found.get(k, d))
+        want = {k: d for k in license_scan.LICENSES if (d := brute.license_differences(license_scan._statements(k), words, license_scan.MOST_CHANGED)) is not None}
+        assert found == want, text
+        met.update(want)
+    assert len(met) > 15
+
+
+@pytest.mark.parametrize("said, name", [
+    ("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("SPDX-License-Identifier: ISC", "ISC"), ("SPDX-License-Identifier: BSL-1.0", "BSL-1.0"), ("license MPL-2.0", "MPL-2.0"),
+    ("license: CC0-1.0", "CC0-1.0"), ("Licensed under MIT", "MIT"), ("Licensed under the GPL", "GPL"), ("The code is licensed under GPLv3", "GPL-3.0"), ("GNU General Public License version 9 ... license MPL-2.0", "MPL-2.0"), ("Eclipse Public License - v 2.0", "EPL-2.0"),
+])
+def test_short_forms(said, name):
+    assert [(k, d) for _, _, k, _, d in license_scan.found_in(said)] == [(name, 0)]
+
+
 @pytest.mark.parametrize(
     "text, changed",
     [
