@@ -10,17 +10,24 @@ A query visits leaves best bin first: a priority queue over the tree's nodes,
 by distance to the centre, gives the leaves in the order they would be visited.
 How many to visit is calibrated: up to `CALIBRATION` queries are answered
 exactly, over all rows in blocks, and the visits widen until the mean share of
-their true neighbours in the visited leaves reaches `RECALL`.
+their true neighbours in the visited leaves reaches `RECALL`. A query goes on
+until its leaves hold k rows beside itself, so none gets fewer while there are
+more.
 
 Rows of a leaf are dealt into blocks of about `BLOCK`, and its queries into
-batches of about `BATCH`, so a leaf that holds a third of all rows is many small
+batches of about `BATCH`, so a leaf that holds a third of all rows is many
 tasks; each task scores its batch against its block in double precision and
-passes on the best of each query.
+passes on the best of each query. A row travels once for each batch of its leaf
+and a query once for each block it meets, so both are large. The lists of a
+query are merged in two levels, so that no task holds more than about the root
+of their number at once.
 
 Defined results for unusual input: vectors that are null, zero, or hold null or
 non-finite components, and those whose dimension is not the commonest one, are
-neither queries nor candidates; null ids likewise; repeated rows are candidates
-as often as they occur; an empty table gives an empty result; other columns are
+neither queries nor candidates; null ids likewise. Rows are told apart by
+number, not by id: each row of a repeated id is a candidate, for its namesakes
+too, and each that is a query has neighbours of its own under that id. Ties go
+to the smaller id. An empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -34,6 +41,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import materialize
 
@@ -44,7 +52,9 @@ BRANCH = 8
 LEAF = 8
 MOST_LEAVES = 4096
 RECALL = 0.95
-BLOCK, BATCH = 1024, 512
+BLOCK, BATCH = 4096, 4096
+#: Lists of a query up to which they are merged at once.
+MERGE = 256
 _ROWS = 32
 ITERATIONS = 10
 
@@ -99,14 +109,15 @@ class Tree:
             open_ = np.concatenate(moved) if moved else np.empty(0, np.int64)
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves, best bin first."""
+    def visit(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, rows: int = 0) -> list[int]:
+        """The first `most` leaves, best bin first, and more until they hold `rows` rows, by the sizes of the leaves."""
         apart = ((self.centres - q) ** 2).sum(axis=1)
-        heap, out = [(0.0, 0)], []
-        while heap and len(out) < most:
+        heap, out, held = [(0.0, 0)], [], 0
+        while heap and (len(out) < most or held < rows):
             _, node = heapq.heappop(heap)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
+                held += 0 if sizes is None else sizes[self.leaf[node]]
             for child in range(self.first[node], self.first[node] + self.count[node]):
                 heapq.heappush(heap, (apart[child], child))
         return out
@@ -126,21 +137,29 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the vectors that take part, before their dimension is looked at."""
-    v = F.col(vector_col).cast("array<double>")
+    """(row, id, v) of the vectors that take part, before their dimension is looked at. Floats stay floats until they are scored; row is a number of its own once this is written."""
+    kind = df.schema[vector_col].dataType
+    v = F.col(vector_col) if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else F.col(vector_col).cast("array<double>")
     good = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & good)
+    kept = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & good)
+    return kept.select(F.monotonically_increasing_id().alias("row"), "id", "v")
 
 
-def top(scores: DataFrame, k: int) -> DataFrame:
-    """The k best of each query from the lists (candidates, scores) of the blocks it was held against."""
+def _merged(lists: DataFrame, k: int, *by: str) -> DataFrame:
+    return lists.groupBy(*by).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+
+
+def top(scores: DataFrame, k: int, parts: int = 1) -> DataFrame:
+    """The k best of each query (row, id) from the lists (candidates, scores) of the blocks it was held against, merged in so many parts first."""
     of = lambda c, x: F.struct((-x).alias("s"), c.alias("c"))
-    lists = scores.select("query", F.zip_with("candidates", "scores", of).alias("best"))
-    whole = lists.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-    return whole.select("query", F.posexplode("best").alias("at", "b")).select("query", (F.col("at") + 1).alias("rank"), F.col("b.c").alias("candidate"), (-F.col("b.s")).alias("score"))
+    lists = scores.select("row", "id", F.pmod(F.xxhash64("leaf", "block"), F.lit(parts)).alias("part"), F.zip_with("candidates", "scores", of).alias("best"))
+    if parts > 1:
+        lists = _merged(lists, k, "row", "id", "part")
+    whole = _merged(lists, k, "row", "id")
+    return whole.select("row", "id", F.posexplode("best").alias("at", "b")).select("row", "id", (F.col("at") + 1).alias("rank"), F.col("b.c").alias("candidate"), (-F.col("b.s")).alias("score"))
 
 
-def _best(q_ids, q, c_ids, c, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best(q_rows, q, c_rows, c_ids, c, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of the query, place of the candidate, score) of the k best candidates in a block for each query of a batch, but for the query itself; ties to smaller ids.
 
     A matrix product finds them with a little slack; their scores are then summed one by one, so that equal vectors score exactly alike wherever they stand.
@@ -149,7 +168,7 @@ def _best(q_ids, q, c_ids, c, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for at in range(0, len(q), _ROWS):
         part = q[at : at + _ROWS]
         rough = part @ c.T
-        rough[q_ids[at : at + _ROWS, None] == c_ids[None, :]] = -np.inf
+        rough[q_rows[at : at + _ROWS, None] == c_rows[None, :]] = -np.inf
         least = np.partition(rough, len(c_ids) - k, axis=1)[:, len(c_ids) - k, None] if len(c_ids) > k else np.full((len(part), 1), -np.inf)
         slack = 1e-12 * np.abs(part).sum(axis=1, keepdims=True) * np.abs(c).max(initial=0)
         row, col = np.nonzero((rough >= least - slack) & (rough > -np.inf))
@@ -161,77 +180,87 @@ def _best(q_ids, q, c_ids, c, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
-def exact(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
-    """query, candidate, score, leaf: the k best of a few given queries in each batch of the indexed rows."""
+def exact(rows: DataFrame, asked: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
+    """query (a row), candidate, score, leaf: the k best of a few given queries in each batch of the indexed rows."""
     dim = vectors.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                c_ids = batch.column(0).to_numpy()
-                q, c, s = _best(ids, vectors, c_ids, _vectors(batch.column(1), dim), k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(c_ids[c]), pa.array(s), batch.column(2).take(pa.array(c))], names=["query", "candidate", "score", "leaf"])
+                c_ids = batch.column(1).to_numpy()
+                q, c, s = _best(asked, vectors, batch.column(0).to_numpy(), c_ids, _vectors(batch.column(2), dim), k)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(c_ids[c]), pa.array(s), batch.column(3).take(pa.array(c))], names=["query", "candidate", "score", "leaf"])
 
-    return rows.select("id", "v", "leaf").mapInArrow(run, "query long, candidate long, score double, leaf long")
+    return rows.select("row", "id", "v", "leaf").mapInArrow(run, "query long, candidate long, score double, leaf long")
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score, visits for the rows of which is_query (a column over `id`) holds, against all others."""
     spark = df.sparkSession
     rows = materialize(usable(df, id_col, vector_col), "vectors")
-    dims = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).orderBy(F.desc("n"), "d").first()
+    kind = rows.schema["v"].dataType.simpleString()
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    dims = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(square).alias("m")).orderBy(F.desc("n"), "d").first()
     empty = "query_id long, rank int, vec_id long, score double, visits int"
     if dims is None:
         return spark.createDataFrame([], empty)
     dim, count, most = dims.d, dims.n, float(np.sqrt(dims.m))
     rows = rows.filter(F.size("v") == dim)
-    sample = _vectors(rows.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toArrow().column(0).combine_chunks(), dim)
+    sample = _vectors(rows.orderBy(F.xxhash64("id"), F.xxhash64("v")).limit(SAMPLE).select("v").toArrow().column(0).combine_chunks(), dim)
     # Few leaves make long scans, many make queries travel far: both costs of a query grow as the root of the rows.
     tree = Tree(lengthened(sample, most), max(2, len(sample) * 4 // MOST_LEAVES, int(LEAF * np.sqrt(count) * len(sample) / count)))
     sent = spark.sparkContext.broadcast(tree)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = sent.value.assign(lengthened(_vectors(batch.column(1), dim), most))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int64())], names=["id", "v", "leaf"])
+            leaf = sent.value.assign(lengthened(_vectors(batch.column(2), dim), most))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int64())], names=["row", "id", "v", "leaf"])
 
-    indexed = materialize(rows.mapInArrow(index, "id long, v array<double>, leaf long"), "indexed")
+    indexed = materialize(rows.mapInArrow(index, f"row long, id long, v {kind}, leaf long"), "indexed")
     asked = rows.filter(is_query)
-    trial = asked.orderBy(F.xxhash64("id", F.lit(1))).limit(CALIBRATION).collect()
+    trial = asked.orderBy(F.xxhash64("id", F.lit(1)), F.xxhash64("v")).limit(CALIBRATION).collect()
     if not trial:
         return spark.createDataFrame([], empty)
-    ids, vectors = np.array([r.id for r in trial]), np.array([r.v for r in trial])
-    truth = exact(indexed, ids, vectors, k)
+    trial_rows, vectors = np.array([r.row for r in trial]), np.array([r.v for r in trial], np.float64)
+    truth = exact(indexed, trial_rows, vectors, k)
     best = truth.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("candidate").alias("c"), "leaf"))), 1, k).alias("b"))
     wanted = {r["query"]: [x["leaf"] for x in r["b"]] for r in best.collect()}  # k for each of the bounded number of trials
-    visits = calibrated(tree, ids, lengthened(vectors, 0.0), wanted, recall)
+    visits = calibrated(tree, trial_rows, lengthened(vectors, 0.0), wanted, recall)
+    held = np.zeros(tree.leaves, np.int64)
+    for r in indexed.groupBy("leaf").count().collect():  # at most MOST_LEAVES rows
+        held[r.leaf] = r["count"]
+    sizes = spark.sparkContext.broadcast(held)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = np.column_stack([_vectors(batch.column(1), dim), np.zeros(batch.num_rows)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sent.value.visit(x, visits) for x in q], pa.list_(pa.int64()))], names=["id", "v", "leaves"])
-
-    routed = materialize(asked.mapInArrow(route, "id long, v array<double>, leaves array<long>").select("id", "v", F.explode("leaves").alias("leaf")), "routed")
-    # At most MOST_LEAVES rows each.
-    blocks = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    batches = routed.groupBy("leaf").agg(F.ceil(F.count("*") / BATCH).cast("int").alias("batches"))
-    sizes = F.broadcast(materialize(blocks.join(batches, "leaf"), "sizes"))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+            q = np.column_stack([_vectors(batch.column(2), dim), np.zeros(batch.num_rows)])
+            leaves = [sent.value.visit(x, visits, sizes.value, k + 1) for x in q]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], names=["row", "id", "v", "leaves"])
+
+    routed = materialize(asked.mapInArrow(route, f"row long, id long, v {kind}, leaves array<long>"), "routed")
+    visited = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()  # at most MOST_LEAVES rows
+    plan = [(r.leaf, -(-int(held[r.leaf]) // BLOCK), -(-r["count"] // BATCH)) for r in visited if held[r.leaf]]
+    plan = F.broadcast(spark.createDataFrame(plan, "leaf long, blocks int, batches int"))
+    own = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    c = indexed.join(sizes, "leaf").select("leaf", own("blocks").alias("block"), every("batches").alias("batch"), "id", "v")
-    q = routed.join(sizes, "leaf").select("leaf", every("blocks").alias("block"), own("batches").alias("batch"), "id", "v")
+    c = indexed.join(plan, "leaf").select("leaf", own("blocks").alias("block"), every("batches").alias("batch"), "row", "id", "v")
+    q = routed.select("row", "id", "v", F.explode("leaves").alias("leaf")).join(plan, "leaf").select("leaf", every("blocks").alias("block"), own("batches").alias("batch"), "row", "id", "v")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "candidates": [], "scores": []})
-        q_ids, c_ids = left["id"].to_numpy(), right["id"].to_numpy()
-        q, c, x = _best(q_ids, np.stack(left["v"].to_numpy()), c_ids, np.stack(right["v"].to_numpy()), k)
-        ends = np.searchsorted(q, np.arange(1, len(q_ids)))
-        return pd.DataFrame({"query": q_ids, "candidates": np.split(c_ids[c], ends), "scores": np.split(x, ends)})
+            return pd.DataFrame({"leaf": [], "block": [], "row": [], "id": [], "candidates": [], "scores": []})
+        c_ids = right["id"].to_numpy()
+        of = lambda side: np.stack(side["v"].to_numpy()).astype(np.float64)
+        q, c, x = _best(left["row"].to_numpy(), of(left), right["row"].to_numpy(), c_ids, of(right), k)
+        ends = np.searchsorted(q, np.arange(1, len(left)))
+        return pd.DataFrame({"leaf": left["leaf"], "block": left["block"], "row": left["row"], "id": left["id"], "candidates": np.split(c_ids[c], ends), "scores": np.split(x, ends)})
 
     key = ("leaf", "block", "batch")
-    scores = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(score, "query long, candidates array<long>, scores array<double>")
-    return top(scores, k).select(F.col("query").alias("query_id"), F.col("rank").cast("int"), F.col("candidate").alias("vec_id"), "score", F.lit(visits).alias("visits"))
+    scores = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(score, "leaf long, block int, row long, id long, candidates array<long>, scores array<double>")
+    # A query's lists: one for each block of its leaves.
+    lists = visits * max(1, -(-count // (tree.leaves * BLOCK)))
+    found = top(scores, k, 1 if lists <= MERGE else int(np.sqrt(lists)))
+    return found.select(F.col("id").alias("query_id"), F.col("rank").cast("int"), F.col("candidate").alias("vec_id"), "score", F.lit(visits).alias("visits"))
 
 
 def calibrated(tree: Tree, ids: np.ndarray, queries: np.ndarray, wanted: dict[int, list[int]], recall: float) -> int:

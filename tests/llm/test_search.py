@@ -65,6 +65,58 @@ def test_many_equal_vectors(spark):
         assert [i for _, i in sorted(got[q])] == [i for i in range(21) if i != q][:20]
 
 
+def lists_of(rows, k=20):
+    """(query id, neighbours) of every query row by brute force; rows of (id, vector)."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float32).astype(float)
+    out = Counter()
+    for at in np.flatnonzero(ids % 20 == 0):
+        others = np.flatnonzero(np.arange(len(ids)) != at)
+        s = np.einsum("ij,j->i", x[others], x[at])
+        order = np.lexsort((ids[others], -s))[:k]
+        out[int(ids[at]), tuple(ids[others[order]].tolist())] += 1
+    return out
+
+
+def lists_found(df):
+    """The same, of what was found: the ranks of repeated ids are dealt out by score."""
+    by = {}
+    for r in df.collect():
+        by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    return by
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(1, 201)]
+    same, other = dict(rows)[20], rng.normal(size=6).tolist()
+    for more in ([(20, same)], [(20, other)], [(20, same), (20, same), (20, other), (7, same)]):
+        df = spark.createDataFrame(rows + more, "vec_id long, embedding array<float>")
+        found = lists_found(ann.nearest(df, F.col("id") % 20 == 0, 20, recall=1.0))
+        want = {}
+        for (i, ids), times in lists_of(rows + more).items():
+            want.setdefault(i, []).extend((rank, v) for _ in range(times) for rank, v in enumerate(ids, 1))
+        assert {i: sorted((r, v) for r, v, _ in f) for i, f in found.items()} == {i: sorted(w) for i, w in want.items()}
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_tiny_outlying_clusters(spark, monkeypatch, kind):
+    """Queries whose own leaves are small still get k, or all others; blocks and batches are cut small, and lists are merged in two levels."""
+    monkeypatch.setattr(ann, "LEAF", 1)
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "BATCH", 16)
+    monkeypatch.setattr(ann, "MERGE", 1)
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=5) * 0.1 + (1, 0, 0, 0, 0)).tolist()) for i in range(1000)]
+    rows += [(1000 + i, (np.eye(5)[i % 4 + 1] * 9 * (1 - 2 * (i % 8 > 3)) + rng.normal(size=5) * 0.01).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    found = lists_found(ann.nearest(df, F.col("id") % 20 == 0, 20))
+    truth = {i: set(ids) for i, ids in lists_of(rows)}
+    assert set(found) == set(truth) and all(sorted(r for r, _, _ in f) == list(range(1, 21)) for f in found.values())
+    assert np.mean([len({v for _, v, _ in f} & truth[i]) / 20 for i, f in found.items()]) >= 0.9
+    few = ann.nearest(df.filter("vec_id >= 1000 and vec_id < 1012"), F.col("id") % 20 == 0, 20)
+    assert {i: len(f) for i, f in lists_found(few).items()} == {1000: 11}
+
+
 def test_tree_covers_and_orders():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 8))
