@@ -20,8 +20,9 @@ def _count(text: str, characters: str) -> str:
 def quality() -> str:
     r = quality_rules
     phrases = " OR ".join(f"contains(lower(x), {_quote(p)})" for p in r.PHRASES)
-    k = f"len(list_filter(regexp_split_to_array(x, '{_SPACE}+'), lambda w: w <> ''))"
-    punctuation = f"(k >= {r.MIN_PLAIN_WORDS} AND NOT regexp_matches(x, '{r.SENTENCE_END}')) OR {_count('x', r.NOISE)} * 2 > k"
+    n = lambda x: f"len(list_filter(regexp_split_to_array({x}, '{_SPACE}+'), lambda w: w <> ''))"
+    k, after = n("x"), n(f"regexp_replace(x, {_quote(r.SENTENCES)}, '')")
+    punctuation = f"(k >= {r.MIN_PLAIN_WORDS} AND {after} >= {r.MIN_PLAIN_WORDS}) OR {_count('x', r.NOISE)} * 2 > k"
     navigation = f"{_count('x', r.SEPARATORS)} >= 2 AND {_count('x', r.SEPARATORS)} * 3 >= k"
     shout = f"k >= {r.MIN_SHOUT_WORDS} AND length(regexp_replace(x, '[^\\p{{Lu}}]', '', 'g')) * 2 > length(regexp_replace(x, '[^\\p{{L}}]', '', 'g'))"
     return f"""
@@ -98,7 +99,7 @@ o AS (SELECT d.doc_id, size, turn, CAST(a.source_size AS BIGINT) AS source_size,
 e AS (SELECT *, unnest(range({m.MAX_EPOCHS})) AS epoch FROM o),
 p AS (SELECT *, before + epoch * source_size AS begins, CAST(greatest(0, least(size, floor(target + 0.5) - before - epoch * source_size)) AS BIGINT) AS part FROM e),
 c AS (SELECT *, CASE WHEN part > 0 THEN {_position("((begins + part / 2e0) / target)")} END AS position FROM p)
-SELECT doc_id, size, source_size, target, CAST(sum(part) AS BIGINT) AS taken, CAST(sum(CASE WHEN part > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_copies, round(min(position), 6) AS position FROM c GROUP BY doc_id, size, source_size, target, before"""
+SELECT doc_id, size, source_size, target, CAST(sum(part) AS BIGINT) AS taken, CAST(sum(CASE WHEN part > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_copies, round(min(position), 6) AS position, round(max(position), 6) AS last_position FROM c GROUP BY doc_id, size, source_size, target, before"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,11 +5,17 @@ and failing lines are removed; a document that loses too large a share of its
 text that way is rejected. Only built-in expressions are used and nothing is
 shuffled: each row is judged from its own text.
 
+A line fails by punctuation if `MIN_PLAIN_WORDS` words or more follow its last
+sentence end (a mark at the end of a word, or after it only closing quotes and
+brackets), or if signs outnumber half of its words; by navigation, if separators
+do a third of them; as boilerplate, if it has a stock phrase of one of four
+languages or shouts.
+
 Defined results for unusual input: a null or empty text has no words and fails
-the base rules; a document with a null id is judged like any other; repeated
-rows give repeated rows; columns other than the id and the text are passed
-through `clean` untouched unless they carry one of the reserved output names,
-which are then replaced.
+the base rules; a very long text is judged whole; a document with a null id is
+judged like any other; repeated rows give repeated rows; an empty table gives an
+empty result; columns other than the id and the text pass through `clean`
+untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +29,13 @@ SYMBOLS = "#*$%&|<>"
 #: Fixed values of the line rules.
 SEPARATORS = "|»›•·→"
 NOISE = "#*$%&<>^~={}!"
-SENTENCE_END = r"[.!?…。！？]"
-PHRASES = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript", "click here", "sign up", "log in", "login", "lorem ipsum", "read more", "share this", "skip to content")
+SENTENCES = r"""(?s)^.*(?:[.!?…]["'”’»)\]]*(?:[\x20\x09-\x0D]|\z)|[。！？])"""
+PHRASES = (
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript", "click here", "sign up", "log in", "login", "lorem ipsum", "read more", "share this", "skip to content",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookies akzeptieren", "javascript aktivieren", "hier klicken", "jetzt registrieren", "mehr lesen", "zum inhalt springen",
+    "todos los derechos reservados", "términos de uso", "condiciones de uso", "política de privacidad", "política de cookies", "aceptar cookies", "haz clic aquí", "haga clic aquí", "iniciar sesión", "leer más", "ir al contenido",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "accepter les cookies", "activer javascript", "cliquez ici", "se connecter", "lire la suite", "aller au contenu",
+)
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 50
@@ -79,7 +90,8 @@ def line_fails(line: Column, phrases: Column, separated: Column) -> Column:
     def judged(k: Column) -> Column:
         letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
         capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
-        punctuation = ((k >= MIN_PLAIN_WORDS) & ~line.rlike(SENTENCE_END)) | (occurrences(line, NOISE) * 2 > k)
+        after = F.size(words(F.regexp_replace(line, SENTENCES, "")))
+        punctuation = ((k >= MIN_PLAIN_WORDS) & (after >= MIN_PLAIN_WORDS)) | (occurrences(line, NOISE) * 2 > k)
         navigation = separated & let(occurrences(line, SEPARATORS), lambda n: (n >= 2) & (n * 3 >= k))
         boilerplate = (phrases & has_phrase(line)) | ((k >= MIN_SHOUT_WORDS) & (capitals * 2 > letters))
         return (k > 0) & (punctuation | navigation | boilerplate)

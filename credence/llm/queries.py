@@ -53,10 +53,9 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
-    place = F.array_min(F.transform("copies", lambda c: c["position"]))
-    out = out.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_copies"), place.alias("position"))
+    places = F.transform("copies", lambda c: F.round(c["position"], 6))
+    out = out.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_copies"), F.array_min(places).alias("position"), F.array_max(places).alias("last_position"))
     # Documents that are not taken follow, spread out by their ids, so that no range of the sort holds all of them.
-    out = out.withColumn("position", F.round("position", 6))
     return out.orderBy(F.coalesce("position", 1 + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)))
 
 

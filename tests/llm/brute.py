@@ -26,7 +26,8 @@ def line_fails(line):
         return False
     letters, capitals = len(regex.findall(r"\p{L}", line)), len(regex.findall(r"\p{Lu}", line))
     seps = count(line, q.SEPARATORS)
-    punctuation = (k >= q.MIN_PLAIN_WORDS and not re.search(q.SENTENCE_END, line)) or count(line, q.NOISE) * 2 > k
+    after = re.sub(q.SENTENCES.replace(r"\z", r"\Z"), "", line)
+    punctuation = len(words(after)) >= q.MIN_PLAIN_WORDS or count(line, q.NOISE) * 2 > k
     return punctuation or (seps >= 2 and seps * 3 >= k) or any(p in line.lower() for p in q.PHRASES) or (k >= q.MIN_SHOUT_WORDS and capitals * 2 > letters)
 
 

@@ -46,6 +46,18 @@ def test_quality_on_small_alphabets(spark, texts):
     assert sorted(rows_of(quality_rules.judge(df), "doc_id", *COUNTS)) == [(i, *brute.quality(t)) for i, t in enumerate(texts)]
 
 
+@pytest.mark.parametrize(
+    "line, fails",
+    [
+        ("one two three four five six seven eight", True), ("one two. three four five six seven eight nine ten", True), ("Here at 3.5 of example.com one two three four", True), ("one two three four five six seven eight.", False), ('She said "one two three four five six."', False), ("one two three four five six (seven eight.) ", False),
+        ("one two three four five six seven. token = 9f14", False), ("一二三四五六七八。 a b c d e f g", False), ("one two three four five six seven", False), ("Todos los derechos reservados.", True), ("LIRE LA SUITE", True), ("Datenschutzerklärung.", True), ("home | news | about | contact", True), ("", False),
+    ],
+)
+def test_line_rules(spark, line, fails):
+    got = quality_rules.judge(spark.createDataFrame([(1, line)], "doc_id int, text string")).first()
+    assert (got.lost_chars > 0) == fails == brute.line_fails(line)
+
+
 def test_many_repeated_windows(spark):
     text = " ".join(f"w{i}" for i in range(300)) * 2  # more than a few windows found twice
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
