@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize
+from .common import BROADCAST_ROWS, join_hot, materialize
 
 
-def _written(least: DataFrame) -> DataFrame:
-    """The least neighbours, one row a node: sent to the edges where they are few; else joined by two plain exchanges, of which Spark can split that of a node with many edges."""
-    least = materialize(least, "least")
-    return F.broadcast(least) if least.count() <= BROADCAST_ROWS else least
+def _joined(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) with m, the least neighbour of u; least (w, m, c) has one row a node and is sent to the edges where it is short, and where not, nodes with many edges are."""
+    if least.count() <= BROADCAST_ROWS:
+        return edges.join(F.broadcast(least.drop("c")), F.col("u") == F.col("w")).drop("w")
+    return join_hot(edges, least, "u", "w", "c").drop("w")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-    return both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"), "c"), "least")
+    return _joined(both.filter(F.col("v") > F.col("u")), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """edges go from the larger to the smaller node."""
-    least = _written(edges.groupBy("u").agg(F.min("v").alias("m")))
-    moved = edges.join(least, "u")
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).withColumnRenamed("u", "w"), "least")
+    moved = _joined(edges, least)
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

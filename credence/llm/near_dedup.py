@@ -27,8 +27,11 @@ many partners is repeated for every `PARTNERS` of them.
 
 Defined results for unusual input: a null text, or one without words, has no
 shingles and is linked with nothing; with fewer than five words the whole
-sequence is the one shingle; a null id is linked with nothing; rows that repeat
-an id share its component; other columns are ignored.
+sequence is the one shingle; very long texts are read whole, and one with very
+many shingles fills a block of its own; a null id is linked with nothing; rows
+that repeat an id are one document, which is linked with what any of its texts
+is linked with, and stay or go together; an empty table gives an empty result;
+other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize
+from .common import BROADCAST_ROWS, join_hot, materialize
 from .components import components
 
 WIDTH = 5
@@ -146,13 +149,18 @@ def _alike(n: Column, m: Column, threshold: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * threshold
 
 
+def _similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and both * 100 >= (len(a) + len(b) - both) * threshold
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough. docs: doc_id, text (binary). Partners of the same b are read next to it."""
     pairs = materialize(pairs, "candidates")
-    counts = pairs.groupBy("b").count().select(F.col("b").alias("_b"), F.ceil(F.col("count") / PARTNERS).alias("_chunks"))
+    counts = pairs.groupBy("b").agg(F.count("*").alias("c")).select(F.col("b").alias("_b"), "c", F.ceil(F.col("c") / PARTNERS).alias("_chunks"))
     counts = materialize(counts, "partners")
-    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
-    dealt = pairs.join(counts, F.col("b") == F.col("_b")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("_chunks")).alias("chunk"))
+    joined = pairs.join(F.broadcast(counts), F.col("b") == F.col("_b")) if counts.count() <= BROADCAST_ROWS else join_hot(pairs, counts, "b", "_b", "c")
+    dealt = joined.select("a", "b", F.pmod(F.xxhash64("a"), F.col("_chunks")).alias("chunk"))
     dealt = materialize(dealt, "pairs")
     wanted = dealt.select(F.col("a").alias("id"), "b", "chunk", F.lit(1).alias("role")).union(dealt.select(F.col("b").alias("id"), "b", "chunk", F.lit(0).alias("role")).distinct())
     wanted = materialize(wanted, "wanted")
@@ -160,18 +168,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) ->
     rows = docs.join(wanted, F.col("doc_id") == F.col("id")).select("b", "chunk", "role", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, head, at = WordHashes(), None, None
+        hashes, heads, at = WordHashes(), [], None
         for batch in batches:
             a, b = [], []
             for hub, chunk, role, one, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
                 s = shingles(text.as_py(), hashes, width)
-                if role == 0:
-                    head, at = s, (hub, chunk)
-                elif at == (hub, chunk):
-                    both = len(np.intersect1d(s, head, assume_unique=True))
-                    if both * 100 >= (len(s) + len(head) - both) * threshold:
-                        a.append(one)
-                        b.append(hub)
+                if role == 0:  # a leader has more than one text where its id is repeated
+                    heads, at = [*heads, s] if at == (hub, chunk) else [s], (hub, chunk)
+                elif at == (hub, chunk) and any(_similar(s, head, threshold) for head in heads):
+                    a.append(one)
+                    b.append(hub)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return rows.repartition("b", "chunk").sortWithinPartitions("b", "chunk", "role").select("b", "chunk", "role", "id", "text").mapInArrow(run, "a long, b long")
@@ -186,10 +192,14 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 def _with_leader(reps: DataFrame, threshold: int) -> DataFrame:
     """Candidate pairs (a, b): members of a bucket and its leader, the smallest."""
     members = reps.select("rep", F.explode("bands").alias("key"))
-    leaders = members.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("_key"), "leader")
-    pairs = members.join(leaders, F.col("key") == F.col("_key")).filter(F.col("rep") != F.col("leader")).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    leaders = members.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("_key"), "leader", "c")
+    leaders = materialize(leaders, "leaders")
+    pairs = join_hot(members, leaders, "key", "_key", "c").filter(F.col("rep") != F.col("leader")).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = materialize(pairs, "led")
+    followers = pairs.groupBy("b").agg(F.count("*").alias("c"))
     left, right = (reps.select(F.col("rep").alias(f"_{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    pairs = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
+    right = materialize(followers.join(right, F.col("b") == F.col("_b")).drop("b"), "leader-sketches")
+    pairs = join_hot(pairs, right, "b", "_b", "c").join(left, F.col("a") == F.col("_a"))
     return pairs.filter(_alike(F.col("na"), F.col("nb"), threshold) & (_bits(F.col("sa"), F.col("sb")) <= most_bits(threshold))).select("a", "b")
 
 
@@ -297,11 +307,9 @@ class _Links:
         x, y = _near_pairs(across, own, label, n, sketch, self.threshold, self.limit)
         joined, out = _Joined(), []
         for a, b in zip(x.tolist(), y.tolist()):
-            if joined.root(label[a]) != joined.root(label[b]):
-                both = len(np.intersect1d(full[a], full[b], assume_unique=True))
-                if both * 100 >= (len(full[a]) + len(full[b]) - both) * self.threshold:
-                    joined.join(label[a], label[b])
-                    out.append((rep[a], rep[b]))
+            if joined.root(label[a]) != joined.root(label[b]) and _similar(full[a], full[b], self.threshold):
+                joined.join(label[a], label[b])
+                out.append((rep[a], rep[b]))
         return out
 
 
@@ -310,8 +318,8 @@ def _groups(reps: DataFrame, threshold: int) -> DataFrame:
     work = _Forest(threshold, most_bits(threshold))
     members = reps.select("rep", "label", F.explode("bands").alias("key"))
     main = F.min_by("label", "rep")
-    mixed = members.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("l"), F.max("label").alias("m"), main.alias("main")).filter("l < m").select(F.col("key").alias("_key"), "c", F.col("main").alias("_main_label"))
-    inside = members.join(mixed, F.col("key") == F.col("_key")).select("rep", "label", "key", "c", "_main_label")
+    mixed = members.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("l"), F.max("label").alias("m"), main.alias("main")).filter("l < m").select(F.col("key").alias("_key"), "c", F.col("c").alias("_times"), F.col("main").alias("_main_label"))
+    inside = join_hot(members, materialize(mixed, "mixed"), "key", "_key", "_times").select("rep", "label", "key", "c", "_main_label")
     blocks = F.ceil(F.col("c") / BLOCK)
     dealt = _in_blocks(inside, F.col("label") == F.col("_main_label"), blocks, blocks).select("key", "i", "j", "own", "rep", "label")
     full = dealt.join(reps.select(F.col("rep").alias("_rep"), "n", "sketch"), F.col("rep") == F.col("_rep")).select("key", "i", "j", *_MEMBER)
@@ -337,6 +345,14 @@ def _between(reps: DataFrame, docs: DataFrame, threshold: int, width: int) -> Da
     return rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(lambda batches: _runs(batches, work), "a long, b long")
 
 
+def _same_id(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of ids that stand on rows with different sets."""
+    h = F.xxhash64("digest")
+    repeated = found.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(h).alias("x"), F.max(h).alias("y")).filter("x < y").select(F.col("doc_id").alias("_id"))
+    rows = found.join(repeated, F.col("doc_id") == F.col("_id")).select("doc_id", "digest")
+    return rows.join(classes.select(F.col("digest").alias("_d"), "rep"), F.col("digest") == F.col("_d")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of df."""
     found = materialize(sets(df, id_col, text_col, width), "sets")
@@ -346,7 +362,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = classes.select("rep", "n", "bands", "sketch")
     links = materialize(confirmed(_with_leader(reps, threshold), docs, threshold, width), "links")
     joined = materialize(_labelled(reps, links), "labelled")
-    links = links.union(materialize(_between(joined, docs, threshold, width), "links"))
+    links = links.union(materialize(_between(joined, docs, threshold, width), "links")).union(materialize(_same_id(found, classes), "links"))
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     of_class = classes.select("digest", "rep", "copies").join(roots, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("_d"), F.coalesce("root", "rep").alias("component_id"), ((F.col("copies") > 1) | F.col("root").isNotNull()).alias("_more")).filter("_more")
     out = found.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of_class.drop("_more"), F.col("digest") == F.col("_d"), "left")

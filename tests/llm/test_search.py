@@ -230,6 +230,25 @@ def test_chained_group(spark, blocks, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == {i: c for i, (_, c) in brute.near(given_).items()}
 
 
+def test_hot_keys_and_long_lists(docs, monkeypatch):
+    """With every key hot, and with tables too long to be sent, the components are the same."""
+    from credence.llm import common
+
+    want = {i: c for i, (_, c) in brute.near(dict(rows_of(docs, "doc_id", "text"))).items()}
+    monkeypatch.setattr(common, "HOT", 1)
+    for module in (near_dedup, components):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == want
+
+
+def test_one_id_with_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, a + " more"), (5, b), (8, b + " more"), (9, c), (9, a), (7, ""), (7, c + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.n_shingles > 0) for r in near_dedup.near_duplicates(df).collect())
+    assert got == Counter([(3, 3, True), (5, 3, True), (5, 3, True), (8, 3, True), (9, 3, True), (9, 3, True), (7, 7, False), (7, 3, True)])
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(2)
     for shared, want in ((950, True), (900, True), (300, False)):
