@@ -10,9 +10,17 @@ last token and give the rest of their documents back; these are dealt anew,
 among fewer partitions, and packed again, until every partition is certified,
 one partition is left, or a round no longer lowers the number of partitions.
 
+Documents can have a place in training order (`in_order`: that of the rows in
+their files). Then the first round's partitions are windows of `WINDOW` documents
+in a row, and each further round joins two neighbours, so that all documents of
+a sequence come from the same `WINDOW * 2 ** (ORDERED_ROUNDS - 1)` places; the
+place of its first document tells when a sequence is due.
+
 Defined results for unusual input: a null or empty text is the closing id
-alone; repeated rows are packed as often as they occur; an empty table gives
-an empty result; other columns are ignored.
+alone; a very long text is cut into whole sequences after its first piece; of
+equal lengths the one that was read first is packed first; repeated rows are
+packed as often as they occur; an empty table gives an empty result; other
+columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -25,19 +33,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import BROADCAST_ROWS, materialize
 
 CAPACITY = 2048
 END = 0
 PIECES_PER_PARTITION = 2000
 MAX_ROUNDS = 8
+WINDOW, ORDERED_ROUNDS = 2000, 4
 #: Dual-feasible functions tried: rounding with k = 1.. this, and all thresholds of the Martello-Toth family.
 ROUNDINGS = 100
 
-_PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, place long"
 _loaded: dict = {}
 
 
@@ -74,8 +84,8 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))] if n else []
 
 
-def pieces(df: DataFrame, vocabulary: str, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """uid (unique once written), doc_id, piece, start, length, ids_crc32 of every piece. vocabulary and ranks are files on the driver."""
+def pieces(df: DataFrame, vocabulary: str, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, place_col: str | None = None) -> DataFrame:
+    """uid (unique once written), doc_id, piece, start, length, ids_crc32 and place (null without place_col) of every piece. vocabulary and ranks are files on the driver."""
     files = df.sparkSession.sparkContext.broadcast((Path(vocabulary).read_bytes(), Path(ranks).read_bytes(), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,15 +93,16 @@ def pieces(df: DataFrame, vocabulary: str, ranks: str, pattern: str, id_col: str
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, text, place in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 ids = np.append(encode(text.as_py() or ""), end).astype("<u4")
                 for k, (s, n) in enumerate(cut(len(ids), capacity)):
-                    rows.append((uid, doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes())))
+                    rows.append((uid, doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes()), place))
                     uid += 1
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["uid", "doc_id", "piece", "start", "length", "ids_crc32"]), schema=schema, preserve_index=False)
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=schema.names), schema=schema, preserve_index=False)
 
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _PIECES)
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("place", pa.int64())])
+    place = F.lit(None).cast("long") if place_col is None else F.col(place_col)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), place.alias("place")).mapInArrow(run, _PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +166,42 @@ def _pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     gap = len(left) - lower_bound(lengths, capacity)
     first = np.full(len(left), np.iinfo(np.int64).max)
     np.minimum.at(first, bins, pdf["uid"].to_numpy())
-    return pd.DataFrame({"uid": pdf["uid"], "length": lengths, "sequence_id": first[bins], "offset": offsets, "done": (left[bins] == 0) | (gap == 0)})
+    out = pdf.drop(columns="part").assign(sequence_id=first[bins], offset=offsets, done=(left[bins] == 0) | (gap == 0))
+    if "place" in out:
+        out["sequence_place"] = out.groupby(bins)["place"].transform("min")
+    return out
+
+
+def _packed(pool: DataFrame, part: Column, capacity: int, name: str) -> DataFrame:
+    """pool (uid, length, more) with sequence_id, offset and done, packed part by part."""
+    dealt = pool.withColumn("part", part)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pool.schema.fields) + ", sequence_id long, offset long, done boolean"
+    return materialize(dealt.groupBy("part").applyInPandas(lambda pdf: _pack_group(pdf, capacity), schema + (", sequence_place long" if "place" in pool.columns else "")), name)
+
+
+def assign_in_order(lengths: DataFrame, capacity: int = CAPACITY, window: int = WINDOW, rounds: int = ORDERED_ROUNDS) -> DataFrame:
+    """uid, sequence_id, offset, sequence_place for a table of (uid, length, place); sequences stay within window * 2^(rounds - 1) places. A document has at most one piece that is no whole sequence, so a window is a bounded task."""
+    done = lengths.filter(F.col("length") == capacity).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("place").alias("sequence_place"))
+    pool = lengths.filter(F.col("length") < capacity).select("uid", "length", "place")
+    for k in range(rounds):
+        packed = _packed(pool, F.floor(F.col("place") / (window << k)), capacity, f"packed-{k}")
+        done = done.union((packed if k == rounds - 1 else packed.filter("done")).select("uid", "sequence_id", "offset", "sequence_place"))
+        pool = packed.filter(~F.col("done")).select("uid", "length", "place")
+        if not pool.limit(1).count():
+            break
+    return done
+
+
+def places(df: DataFrame, column: str) -> DataFrame | None:
+    """df, read from files, with the place of each row in the order of file names and of rows in them; None if df is not read from files. Only a count for each file is looked at."""
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return None
+    counts = materialize(placed.groupBy("_file").count(), "files")
+    before = counts.select(F.col("_file").alias("_f"), (F.sum("count").over(Window.orderBy(F.length("_file"), "_file")) - F.col("count")).alias("_before"))
+    before = F.broadcast(before) if counts.count() <= BROADCAST_ROWS else before
+    return placed.join(before, F.col("_file") == F.col("_f")).withColumn(column, F.col("_before") + F.col("_at")).drop("_file", "_f", "_at", "_before")
 
 
 def assign(lengths: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -169,9 +215,7 @@ def assign(lengths: DataFrame, capacity: int = CAPACITY, per_partition: int = PI
         if not count:
             break
         last = parts == 1 or k == max_rounds - 1 or (before is not None and parts >= before)
-        dealt = pool.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(k)), F.lit(parts)))
-        packed = dealt.groupBy("part").applyInPandas(lambda pdf: _pack_group(pdf, capacity), "uid long, length long, sequence_id long, offset long, done boolean")
-        packed = materialize(packed, f"packed-{k}")
+        packed = _packed(pool, F.pmod(F.xxhash64("uid", F.lit(k)), F.lit(parts)), capacity, f"packed-{k}")
         done = done.union((packed if last else packed.filter("done")).select("uid", "sequence_id", "offset"))
         if last:
             break
@@ -180,8 +224,13 @@ def assign(lengths: DataFrame, capacity: int = CAPACITY, per_partition: int = PI
     return done
 
 
-def pack(df: DataFrame, vocabulary: str, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, **how) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    found = materialize(pieces(df, vocabulary, ranks, pattern, id_col, text_col, capacity, end), "pieces")
-    placed = assign(found.select("uid", "length"), capacity, **how)
-    return found.join(placed, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+def pack(df: DataFrame, vocabulary: str, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, in_order: bool = False, **how) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; in order also sequence_place, the place of the first document of the piece's sequence (null where df is not read from files, as there is no order then)."""
+    placed = places(df.select(id_col, text_col), "_place") if in_order else None
+    given = df if placed is None else placed
+    found = materialize(pieces(given, vocabulary, ranks, pattern, id_col, text_col, capacity, end, None if placed is None else "_place"), "pieces")
+    if placed is None:
+        joined = found.join(assign(found.select("uid", "length"), capacity, **how), "uid").withColumn("sequence_place", F.lit(None).cast("long"))
+    else:
+        joined = found.join(assign_in_order(found.select("uid", "length", "place"), capacity, **how), "uid")
+    return joined.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["sequence_place"] if in_order else []))

@@ -1,4 +1,16 @@
-"""Stages of the corpus pipeline. Each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""Stages of the corpus pipeline. Each takes (spark, docs, sf_dir) and returns a DataFrame.
+
+All but the last return the columns of docs, so training order, which mixing
+makes, is the order of rows in the files it writes, and packing takes it from
+there.
+
+Defined results for unusual input: a null or empty text goes in the first
+stage, as it has too few words; so does any text of fewer than 50. Null ids are
+never near-duplicates. Rows that repeat an id with the same text are copies of
+which mixing takes each; with different texts see `near_dedup`. Null sources are
+one source. Very long texts pass whole. An empty table passes all stages. Extra
+columns pass up to packing, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -33,7 +45,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed(docs)
+    """Sequences of neighbours in training order, numbered by the place of their first documents."""
+    return packed(docs, in_order=True)
 
 
 def recount(docs: DataFrame) -> DataFrame:

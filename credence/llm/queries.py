@@ -28,11 +28,11 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, **how) -> DataFrame:
     """docs packed with the public byte-level vocabulary."""
     import public_tokenizers as public
 
-    return packing.pack(docs, public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    return packing.pack(docs, public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN, **how)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,6 +183,43 @@ def test_many_partitions_exchange(spark):
     assert max(fill.values()) <= 2048 and packing.lower_bound(lengths) <= len(fill) <= apart
 
 
+def test_sequences_stay_near_their_place(spark):
+    rng = np.random.default_rng(8)
+    lengths = rng.choice([5, 300, 900, 1300, 2048], 3000)
+    df = spark.createDataFrame([(i, int(n), 7 * i) for i, n in enumerate(lengths)], "uid long, length long, place long").repartition(5)
+    rows = packing.assign_in_order(df, window=1000, rounds=3).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.uid, r.sequence_place))
+    windows = [[n for i, n in enumerate(lengths) if 7 * i // 1000 == w and n < 2048] for w in range(21)]
+    apart = sum(len(packing.best_fit(np.array(w))[2]) for w in windows) + int((lengths == 2048).sum())
+    assert len(rows) == 3000 and packing.lower_bound(lengths) <= len(by) < apart
+    for parts in by.values():
+        uids = [u for _, u, _ in parts]
+        assert {p for _, _, p in parts} == {7 * min(uids)} and len({7 * u // 4000 for u in uids}) == 1
+        assert sum(lengths[u] for u in uids) <= 2048
+        at = 0
+        for offset, u, _ in sorted(parts):
+            assert offset == at
+            at += lengths[u]
+
+
+def test_packing_follows_the_order_of_mixing(spark, docs, sf_dir):
+    want = [r.doc_id for r in pipeline.mixing_stage(spark, docs, sf_dir).collect()]
+    mixed = pipeline.materialize(pipeline.mixing_stage(spark, docs, sf_dir), "mixed")
+    placed = packing.places(mixed, "place").select("doc_id", "place").collect()
+    assert [r.doc_id for r in sorted(placed, key=lambda r: r.place)] == want
+    out = pipeline.packing_stage(spark, mixed, sf_dir).collect()
+    at = {}
+    for r in placed:
+        at.setdefault(r.doc_id, []).append(r.place)
+    first = {}
+    for r in out:
+        first[r.sequence_id] = min(first.get(r.sequence_id, 1 << 60), *at[r.doc_id])
+    assert all(r.sequence_place >= first[r.sequence_id] and r.sequence_place in {p for x in out if x.sequence_id == r.sequence_id for p in at[x.doc_id]} for r in out[:50])
+    assert pipeline.packing_stage(spark, docs.limit(3), sf_dir).count() >= 3
+
+
 def test_ids_are_those_of_the_vocabulary():
     import zlib
     from pathlib import Path
