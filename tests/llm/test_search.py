@@ -339,10 +339,62 @@ def test_thresholds_are_ordered():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 40, 12)).astype(np.int32) for _ in range(600)]
     grades = np.array([(5 in r) + (5 in r and 6 in r) for r in rows])
-    weights, cuts = quality_model.fit(rows, grades)
+    cost = quality_model.Likelihood(rows, grades, 40)
+    weights, cuts = cost.split(quality_model.descend(cost, cost.start()))
     assert cuts[0] < cuts[1] and weights[5] > 0 and np.isfinite(weights).all()
 
 
+def test_gradient_and_optimum():
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 8, 5)).astype(np.int32) for _ in range(60)]
+    grades = rng.integers(0, 3, 60)
+    cost = quality_model.Likelihood(rows, grades, 8)
+
+    def plain(p):
+        w, first, second = p[:8], p[8], p[8] + np.exp(p[9])
+        logistic = lambda x: 1 / (1 + np.exp(-x))
+        total = 0.0
+        for x, k in zip(rows, grades):
+            s = sum(w[j] for j in x)
+            up = (logistic(first - s), logistic(second - s), 1.0)[k]
+            down = (0.0, logistic(first - s), logistic(second - s))[k]
+            total -= np.log(up - down)
+        return total / 60 + quality_model.PENALTY / 2 * sum(w * w)
+
+    for _ in range(3):
+        p = rng.normal(size=10)
+        value, g = cost(p)
+        assert value == pytest.approx(plain(p))
+        numeric = [(plain(p + 1e-6 * e) - plain(p - 1e-6 * e)) / 2e-6 for e in np.eye(10)]
+        assert g == pytest.approx(numeric, abs=1e-6)
+    best = quality_model.descend(cost, cost.start())
+    assert all(plain(best) <= plain(best + 0.01 * rng.normal(size=10)) + 1e-9 for _ in range(50))
+
+
+def test_scores_against_brute_force(spark):
+    """Features counted, chosen and weighed by hand from the plain texts give the query's scores, twice alike, with a repeated id and a label that stands twice."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join([*rng.choice(["fine", "good", "words", "more", "here", "there"], 8), *rng.choice(["bad", "worse", "plain", "plainer"], 1)]) for _ in range(120)]
+    grade = [0 if "bad" in t else 1 if "worse" in t else 2 for t in texts]
+    docs = spark.createDataFrame([*enumerate(texts), (5, "another text of five bad bad bad"), (None, "good words")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([*enumerate(grade), (7, grade[7]), (999, 1)], "id long, grade int")
+    out = sorted(quality_model.score(docs, labels).collect(), key=repr)
+    assert out == sorted(quality_model.score(docs.repartition(5), labels).collect(), key=repr)
+    known = quality_model.WordFeatures()
+    pick = docs.filter("doc_id = 5").orderBy(F.xxhash64("text")).first().text
+    of = [(quality_model.features(pick if i == 5 else texts[i], known), grade[i]) for i in [*range(120), 7]]
+    seen = {k: np.bincount(np.concatenate([x for x, g in of if (g == 2) == k]), minlength=quality_model.DIMENSIONS) for k in (True, False)}
+    used = np.flatnonzero(quality_model.telling(seen[True], seen[False], sum(g == 2 for _, g in of), len(of)))
+    cost = quality_model.Likelihood([np.searchsorted(used, np.intersect1d(x, used)) for x, _ in of], np.array([g for _, g in of]), len(used))
+    w, cuts = cost.split(quality_model.descend(cost, cost.start()))
+    for r in out:
+        for text in [texts[r.doc_id]] if r.doc_id not in (5, None) else []:
+            s = w[np.searchsorted(used, np.intersect1d(quality_model.features(text, known), used))].sum()
+            tail = 1 / (1 + np.exp(cuts - s))
+            assert (r.p_good, r.p_clean, r.expected_grade) == pytest.approx((*tail, tail.sum()), abs=1e-3) and r.kept == (r.p_clean >= 0.5)
+    assert len(used) > 2 and len(out) == 122
+
+
 # --- licenses
 
 
