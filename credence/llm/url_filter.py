@@ -5,20 +5,24 @@ that begin with theirs; pattern rules use `||` (a host or subdomain), `|` (an
 end of the URL), `^` (a separator or the end) and `*`, and `@@` makes one an
 exception. Every rule becomes a regular expression and a list of literal
 tokens, runs of letters and digits that any URL it fits must contain as tokens
-of its own. The tokens' frequencies are counted over all URLs, each rule is
-filed under its rarest one, and a URL's tokens fetch the rules to try; only
-these run. Rules without a token are tried on every URL.
+of its own. The tokens' frequencies are counted over all URLs by a join, each
+rule is filed under its rarest one, and a URL's tokens fetch the rules to try;
+only these run, whatever the length of the list. Rules without a token are tried
+on every URL.
 
 Among host rules the longest wins and decides. Otherwise the patterns do: a
 URL is blocked if a pattern fits and no exception does.
 
-The rules are the caller's parameter, are sent to every task and so are held to
-`MOST_RULES`; URLs are never shuffled.
+The rules are the caller's parameter, built in or read by `load` from a file or a
+table. They are sent to every task and so are held to `MOST_RULES` (a longer list
+raises); URLs are never shuffled.
 
 Defined results for unusual input: a null URL, or one without `://`, has an
 empty host and path, fits no host rule, and is judged by the patterns as it
-stands (null: as an empty one); repeated rows give repeated rows; null ids are
-kept; other columns are ignored.
+stands (null: as an empty one); a very long URL is judged whole; of host rules of
+equal length the first listed wins, of fitting patterns the first exception or
+else the first; repeated rows give repeated rows; null ids are kept; an empty
+table gives an empty result; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -86,6 +90,17 @@ def rules(host_rules=HOST_RULES, patterns=PATTERNS) -> list[Rule]:
     return [*(host_rule(*r) for r in host_rules), *map(pattern_rule, patterns)]
 
 
+def load(lines: DataFrame) -> list[Rule]:
+    """The rules of a table with one string column, as `spark.read.text` gives it from a list's files: `block host/path` and `allow host/path` are host rules, other lines are patterns; blank lines and those that begin with `!` or `#` are left out. Rules are in the order of the lines; repeated ones count once."""
+    column = F.trim(F.col(lines.columns[0]))
+    told = lines.select(column.alias("line")).filter("line <> '' AND NOT startswith(line, '!') AND NOT startswith(line, '#')")
+    listed = [r.line for r in told.limit(MOST_RULES + 1).collect()]
+    if len(listed) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    split = [line.split() for line in dict.fromkeys(listed)]
+    return [host_rule(*s) if len(s) == 2 and s[0] in ("block", "allow") else pattern_rule(" ".join(s)) for s in split]
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """(host in lower case, path)."""
     _, found, rest = (url or "").partition("://")
@@ -96,10 +111,10 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def token_counts(urls: DataFrame, url: Column, tokens: set[str]) -> dict[str, int]:
-    """How many times each of these tokens occurs in the URLs; no more rows than tokens asked for."""
-    wanted = F.array(*[F.lit(t) for t in sorted(tokens)])
-    found = F.filter(F.split(F.lower(url), "[^a-z0-9]+", -1), lambda t: F.array_contains(wanted, t))
-    return {r.t: r["count"] for r in urls.select(F.explode(found).alias("t")).groupBy("t").count().collect()}
+    """How many times each of these tokens occurs in the URLs. The tokens, bounded by the rules, are sent to the URLs; no more rows than tokens come back."""
+    wanted = F.broadcast(urls.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "t string"))
+    found = urls.select(F.explode(F.split(F.lower(url), "[^a-z0-9]+", -1)).alias("t"))
+    return {r.t: r["count"] for r in found.join(wanted, "t").groupBy("t").count().collect()}
 
 
 class Index:

@@ -128,6 +128,29 @@ def test_index_loses_no_rule(spark, sf_dir):
         assert [index.judge(u)[:5] for u in urls] == [every.judge(u)[:5] for u in urls]
 
 
+def test_ten_thousand_rules(spark, tmp_path):
+    """A generated list, read from a file: the indexed rules judge as trying all does, and few are tried."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 4)))
+    lines = ["! a comment", "", "# another"]
+    for _ in range(10_000):
+        host, path = f"{word()}.{rng.choice(['com', 'net', 'org'])}", f"/{word()}/{word()}"
+        lines.append(rng.choice([f"{rng.choice(['block', 'allow'])} {host}{rng.choice(['', '/', path])}", f"||{host}^", f"{rng.choice(['', '@@'])}{path}/", f"/{word()}/*{word()}^", f"|http://{host}{path}", f".{word()}|"]))
+    (tmp_path / "rules.txt").write_text("\n".join(lines))
+    given_ = url_filter.load(spark.read.text(f"file://{tmp_path}/rules.txt"))
+    assert [r.name for r in given_] == [line.removeprefix("block ").removeprefix("allow ") for line in dict.fromkeys(lines) if line and line[0] not in "!#"]
+    urls = [f"{rng.choice(['http', 'https'])}://{word()}.{word()}.{rng.choice(['com', 'net', 'org'])}/{word()}/{word()}/{word()}.{word()}?{word()}" for _ in range(300)] + ["http://x/" + "a/" * 20_000, None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(df, given_).collect()}
+    every = url_filter.Index([url_filter.Rule(r.name, r.verdict, r.by_host, r.regex) for r in given_], {})
+    assert all(tuple(got[i])[1:6] == every.judge(u)[:5] for i, u in enumerate(urls))
+    assert sum(r.n_tried for r in got.values()) < 0.03 * len(given_) * len(urls) and len({r.verdict for r in got.values()}) == 2
+    with pytest.raises(ValueError):
+        url_filter.load(spark.range(url_filter.MOST_RULES + 1).selectExpr("cast(id as string)"))
+
+
 def test_urls_with_nulls(spark):
     df = spark.createDataFrame([(1, None, 1), (None, "http://a.net/", 2), (1, None, 1)], "page_id long, url string, host int")
     assert sorted(rows_of(url_filter.judge(df), "page_id", "verdict"), key=repr) == [(1, "allow"), (1, "allow"), (None, "block")]
