@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.cut import cut
 from ..network import Model
 
 Soft = Literal["likelihood", "override"]
@@ -164,12 +165,12 @@ def relational(spark: SparkSession, model: Model, evidence: Mapping[str, int] |
     """(var_id, state, p) by the same rounds as joins, products and sums; hard evidence."""
     net = model.network
     given = {net[k].id: s for k, s in (evidence or {}).items()}
-    cpt = model.frame(spark).select(F.col("var_id").alias("c"), "config", "pstate", "state", "p").cache()
+    cpt = model.frame(spark).select(F.col("var_id").alias("c"), "config", "pstate", "state", "p")
     links = [(v.id, p.id, i) for v in net.variables for i, p in enumerate(net.parents(v))]
     edges = spark.createDataFrame(links, "c int, r int, at int")
     #: (c, config, r, rs): the state of each parent in each configuration.
-    configs = cpt.select("c", "config", "pstate").distinct().join(F.broadcast(edges), "c").select("c", "config", "r", F.get("pstate", F.col("at")).alias("rs")).cache()
-    domain = spark.createDataFrame([(v.id, s, float(given.get(v.id, s) == s), v.id in given, not net.parents(v)) for v in net.variables for s in range(v.card)], "v int, state int, fits double, known boolean, root boolean").cache()
+    configs = cpt.select("c", "config", "pstate").distinct().join(F.broadcast(edges), "c").select("c", "config", "r", F.get("pstate", F.col("at")).alias("rs"))
+    domain = spark.createDataFrame([(v.id, s, float(given.get(v.id, s) == s), v.id in given, not net.parents(v)) for v in net.variables for s in range(v.card)], "v int, state int, fits double, known boolean, root boolean")
     share = lambda df, *by: df.withColumn("val", F.col("val") / F.sum("val").over(Window.partitionBy(*by)))
     prior = cpt.join(domain.filter("root").select(F.col("v").alias("c"), "state"), ["c", "state"]).select(F.col("c").alias("v"), "state", "p")
     pi = domain.join(prior, ["v", "state"], "left").select("v", "state", F.when(F.col("known"), F.col("fits")).otherwise(F.coalesce("p", F.lit(1.0))).alias("val"))
@@ -201,9 +202,8 @@ def relational(spark: SparkSession, model: Model, evidence: Mapping[str, int] |
     def moved(new: DataFrame, old: DataFrame, on: list[str]) -> float:
         return new.join(old.withColumnRenamed("val", "was"), on).agg(F.max(F.abs(F.col("val") - F.col("was")))).first()[0] or 0.0
 
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: spark.createDataFrame(df.collect(), df.schema))  # a model's messages: few rows
     for _ in range(max_rounds):
-        new = [keep(x) for x in step(down, up, pi, lam)]
+        new = [cut(x) for x in step(down, up, pi, lam)]
         far = max(moved(n, o, on) for n, o, on in zip(new, (down, up, pi, lam), (["c", "r", "rs"], ["c", "r", "rs"], ["v", "state"], ["v", "state"])))
         down, up, pi, lam = new
         if far < epsilon:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..network import strides
+from .discretize import checked
 
 
 class Family(NamedTuple):
@@ -37,7 +38,8 @@ def mixed_radix(columns: Sequence[str], cards: dict[str, int]) -> Column:
 
 
 def family_counts(table: DataFrame, families: Sequence[Family], cards: dict[str, int]) -> DataFrame:
-    """(family, config, state, n): counts of every family (by its place in the list) from one scan of the compressed table. Each row is repeated for each family before the map-side aggregation, so the table is to be compressed first."""
+    """(family, config, state, n): counts of every family (by its place in the list) from one scan of the compressed table. Each row is repeated for each family before the map-side aggregation, so the table is to be compressed first. A code that is null or outside its variable's domain raises, as it would be counted under another configuration."""
+    table = checked(table, {c: cards[c] for f in families for c in (f.target, *f.parents)})
     each = [F.struct(F.lit(i).alias("family"), mixed_radix(f.parents, cards).alias("config"), F.col(f.target).cast("int").alias("state")) for i, f in enumerate(families)]
     rows = table.select(F.col("n"), F.explode(F.array(*each)).alias("x"))
     return rows.groupBy("x.family", "x.config", "x.state").agg(F.sum("n").cast("long").alias("n"))

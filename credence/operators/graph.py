@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cut import cut
+from ..network import NetworkError
+
 
 def children(edges: DataFrame) -> DataFrame:
     """(var_id, children) for every variable that has some, in id order."""
@@ -21,21 +24,17 @@ def reach(variables: DataFrame, edges: DataFrame) -> DataFrame:
     Paths double in length each round, so the rounds are the logarithm of the longest path; a network's closure is at most the square of its variables.
     """
     own = variables.select(F.col("var_id").alias("src"), F.col("var_id").alias("dst"))
-    now = own.union(edges.select("src", "dst")).distinct()
+    now = cut(own.union(edges.select("src", "dst")).distinct())
     size = now.count()
     while True:
         longer = now.select("src", F.col("dst").alias("mid")).join(now.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        longer = longer.checkpoint() if _can_checkpoint(now) else longer
+        longer = cut(longer)
         n = longer.count()
         if n == size:
             return longer
         now, size = longer, n
 
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
-
-
 def addable(variables: DataFrame, edges: DataFrame) -> DataFrame:
     """(src, dst) of every edge that may be added: not there yet and closing no cycle."""
     ids = variables.select("var_id")
@@ -64,12 +63,22 @@ def reversed_edge(edges: DataFrame, src: int, dst: int) -> DataFrame:
 
 
 def levels(variables: DataFrame, edges: DataFrame) -> DataFrame:
-    """(var_id, level): length of the longest path that ends in each variable; parents come first by level."""
-    now = variables.select("var_id", F.lit(0).alias("level"))
-    for _ in range(variables.count()):
-        up = edges.join(now, F.col("src") == F.col("var_id")).groupBy("dst").agg((F.max("level") + 1).alias("up"))
-        new = now.join(up, F.col("var_id") == F.col("dst"), "left").select("var_id", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"))
-        if not new.join(now, ["var_id", "level"], "left_anti").limit(1).count():
-            return now
-        now = new
-    return now
+    """(var_id, level): length of the longest path that ends in each variable; parents come first by level.
+
+    Longest paths between all pairs double in length each round, as in `reach`; edges that form a cycle raise.
+    """
+    most = variables.count()
+    now = cut(edges.select("src", "dst", F.lit(1).alias("far")).distinct())
+    done = None
+    while True:
+        first, then = now.select("src", F.col("dst").alias("mid"), F.col("far").alias("x")), now.select(F.col("src").alias("mid"), "dst", F.col("far").alias("y"))
+        both = first.join(then, "mid").select("src", "dst", (F.col("x") + F.col("y")).alias("far")).union(now)
+        now = cut(both.groupBy("src", "dst").agg(F.max("far").alias("far")))
+        told = tuple(now.agg(F.count("*"), F.sum("far"), F.max("far")).first())
+        if told[0] and told[2] >= most:
+            raise NetworkError("the edges form a cycle")
+        if told == done:
+            break
+        done = told
+    ends = now.groupBy("dst").agg(F.max("far").alias("level"))
+    return variables.join(ends, F.col("var_id") == F.col("dst"), "left").select("var_id", F.coalesce("level", F.lit(0)).alias("level"))

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .counts import mixed_radix
+from .discretize import checked
 
 
 def entropies(table: DataFrame, sets: Sequence[Sequence[str]], cards: dict[str, int]) -> DataFrame:
-    """(place, entropy) of each set of variables, all in one job over the compressed table."""
+    """(place, entropy) of each set of variables, all in one job over the compressed table. Null codes and codes outside their domains raise."""
+    table = checked(table, {c: cards[c] for s in sets for c in s})
     each = [F.struct(F.lit(i).alias("place"), mixed_radix(list(s), cards).alias("cell")) for i, s in enumerate(sets)]
     cells = table.select("n", F.explode(F.array(*each)).alias("x")).groupBy("x.place", "x.cell").agg(F.sum("n").cast("double").alias("m"))
     return cells.groupBy("place").agg((F.log2(F.sum("m")) - F.sum(F.col("m") * F.log2("m")) / F.sum("m")).alias("entropy"))

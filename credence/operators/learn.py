@@ -34,10 +34,10 @@ def _parent_names(network: Network, name: str) -> frozenset[str]:
     return frozenset(p.name for p in network.parents(name))
 
 
-def exhaustive(network: Network, scores: ScoreCache, variables: Names = None, mode: Literal["exhaustive", "restricted"] = "exhaustive", most: int = 8) -> Learned:
+def exhaustive(network: Network, scores: ScoreCache, variables: Names = None, mode: Literal["exhaustive", "restricted"] = "exhaustive", most: int = 12) -> Learned:
     """The best structure over the variables, beside the edges that are there.
 
-    exhaustive: the true optimum, by dynamic programming over sets of variables (every set has a best sink). restricted: only structures in which each variable has at most one new edge, in either direction, to a later one.
+    exhaustive: the true optimum, by dynamic programming over sets of variables (every set has a best sink). n variables take n 2^(n-1) local scores and as many steps, so `most` limits n (12 variables are 24,576 scores in 48 jobs; 16 are half a million). restricted: only structures in which each variable has at most one new edge, in either direction, to a later one.
     """
     names = _names(network, variables)
     return _optimal(network, scores, names, most) if mode == "exhaustive" else _restricted(network, scores, names)
@@ -52,11 +52,13 @@ def _optimal(network: Network, scores: ScoreCache, names: list[str], most: int)
     scores.load(Family(n, tuple(s | fixed[n])) for n in names for s in subsets(set(names) - {n}))
     if any(not fixed[n] <= set(names) for n in names):  # paths may run outside: only adding edges one by one is safe then
         raise NetworkError("variables outside the search have edges into it")
+    # The best parents in a pool are the whole pool or the best in a pool of one less; pools come by size.
     best_parents: dict[tuple[str, frozenset[str]], frozenset[str]] = {}
     for n in names:
+        rank = lambda s: (scores.local(n, s), len(s), sorted(s))  # noqa: B023, E731
         for pool in subsets(set(names) - {n}):
             if inside[n] <= pool:
-                best_parents[n, pool] = min((s for s in subsets(pool) if inside[n] <= s), key=lambda s: (scores.local(n, s), len(s), sorted(s)))
+                best_parents[n, pool] = min((pool, *(best_parents[n, pool - {x}] for x in pool - inside[n])), key=rank)
     cost: dict[frozenset[str], tuple[float, str | None]] = {frozenset(): (0.0, None)}
     for chosen in subsets(set(names)):
         options = [(cost[rest][0] + scores.local(n, best_parents[n, rest]), n) for n in sorted(chosen) if (rest := chosen - {n}) in cost and (n, rest) in best_parents]
@@ -93,7 +95,12 @@ def _restricted(network: Network, scores: ScoreCache, names: list[str]) -> Learn
 
 
 def exhaustive_with_hint(network: Network, scores: ScoreCache, parents: Sequence[str], children: Sequence[str], most: int = 16) -> Learned:
-    """The best set of edges from parents to children on top of those there; sets that would close a cycle are left out."""
+    """The best set of edges from parents to children on top of those there; sets that would close a cycle are left out.
+
+    Where no child leads to a parent no set can, and each child's parents are searched apart: 2^parents scores a child, for at most `most` parents. Else all sets of edges are tried, of at most `most` edges.
+    """
+    if not any(network.reaches(c, p) for c in children for p in parents):
+        return _best_parents(network, scores, parents, children, most)
     pairs = [(p, c) for c in children for p in parents if p != c]
     if len(pairs) > most:
         raise NetworkError(f"{len(pairs)} possible edges: at most {most} are searched")
@@ -113,6 +120,19 @@ def exhaustive_with_hint(network: Network, scores: ScoreCache, parents: Sequence
     return best
 
 
+def _best_parents(network: Network, scores: ScoreCache, parents: Sequence[str], children: Sequence[str], most: int) -> Learned:
+    if len(parents) > most:
+        raise NetworkError(f"{len(parents)} possible parents: all sets of at most {most} are searched")
+    sets = [frozenset(s) for k in range(len(parents) + 1) for s in combinations(parents, k)]
+    scores.load(Family(c, tuple(_parent_names(network, c) | s)) for c in children for s in sets)
+    for c in children:
+        own = _parent_names(network, c)
+        best = min(sets, key=lambda s: (scores.local(c, own | s), len(own | s), sorted(s)))
+        for p in sorted(best - own, key=list(parents).index):
+            network = network.require_edge(p, c)
+    return Learned(network, scores.total(network))
+
+
 def _try_parents(network: Network, scores: ScoreCache, child: str, candidates: Iterable[str], on_kept: Callable[[str], None] = lambda p: None) -> Network:
     """Adds each candidate, in turn, that lowers the child's local score. A step's families with one candidate more are scored together."""
     left = list(candidates)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from itertools import combinations
@@ -11,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import matrix
+from ..functions.cut import cut, shared_folder
 from ..network import Model, Network
 from ..operators import bp, counts, cpt, exact, graph, info, learn, sampling, score
 from ..operators.counts import Family
-from ..sources import adjacency, dot, samples
+from ..sources import adjacency, bif, dot, dsc, samples
 from ..streaming import counts as streaming
 from . import models as m
 from . import sql as q
@@ -197,6 +197,24 @@ def graph_erase_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.without_edges(_five(spark)[1], spark.createDataFrame([(1, 3)], "src int, dst int"))
 
 
+@_query(f"""WITH edge AS (SELECT * FROM {_E}), v AS (SELECT * FROM {_N})
+SELECT 'add_vertex' AS step, (SELECT count(*) FROM v) + 1 AS vertices, (SELECT count(*) FROM edge) AS edges, (SELECT max(var_id) FROM v) + 1 AS a, 3 AS b
+UNION ALL SELECT 'erase_all_edges', (SELECT count(*) FROM v), 0, NULL, NULL UNION ALL SELECT 'erase_all_vertices', 0, 0, NULL, NULL
+UNION ALL SELECT 'clone', (SELECT count(*) FROM v), (SELECT count(*) FROM edge), NULL, NULL UNION ALL SELECT 'copy', (SELECT count(*) FROM v), (SELECT count(*) FROM edge), NULL, NULL
+UNION ALL SELECT 'ends', NULL, NULL, src, dst FROM edge UNION ALL SELECT 'search', NULL, NULL, 3, 2
+UNION ALL SELECT 'out', NULL, NULL, src, dst FROM edge WHERE src = 2 UNION ALL SELECT 'in', NULL, NULL, src, dst FROM edge WHERE dst = 5 UNION ALL SELECT 'condition', NULL, NULL, dst, src FROM edge""")
+def graph_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a network value gives: new vertices, erasing, copies that later changes leave alone, the ends of edges, a search by name, the nodes a table depends on."""
+    net, added = FIVE, FIVE.with_variable("V6", 3)
+    copy, twin = net.clone(), Network.from_frames(*net.frames(spark))
+    net = net.without_edge(1, 2)
+    size = lambda step, n, a=None, b=None: (step, len(n.variables), len(n.edges), a, b)
+    rows = [size("add_vertex", added, added["V6"].id, added["V6"].card), size("erase_all_edges", net.without_edges()), size("erase_all_vertices", net.without_variables()), size("clone", copy), size("copy", twin)]
+    rows += [("ends", None, None, FIVE.source(e).id, FIVE.target(e).id) for e in FIVE.edges] + [("search", None, None, FIVE["V3"].id, FIVE["V3"].card)]
+    rows += [("out", None, None, *e) for e in FIVE.out_edges("V2")] + [("in", None, None, *e) for e in FIVE.in_edges("V5")] + [("condition", None, None, v.id, p.id) for v in FIVE.variables for p in FIVE.parents(v)]
+    return spark.createDataFrame(rows, "step string, vertices long, edges long, a int, b int")
+
+
 @_query(f"SELECT var_id FROM {_N}")
 def graph_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _five(spark)[0].select("var_id")
@@ -303,7 +321,8 @@ EMPTY = m.CONV.network()
 
 
 def _scores(table: DataFrame, cards: dict[str, int]) -> score.ScoreCache:
-    return score.ScoreCache(table.cache(), cards)
+    """Over the written counts: the search reads them again and again."""
+    return score.ScoreCache(cut(table), cards)
 
 
 def _conv_scores(spark: SparkSession, sf_dir: str) -> score.ScoreCache:
@@ -333,39 +352,83 @@ def _edges(spark: SparkSession, found: learn.Learned) -> DataFrame:
     return spark.createDataFrame(rows or [(None, None, round(found.score, 6))], "parent string, child string, score double")
 
 
-@_query()
+@_query(q.in_steps([("role", "turn"), ("role", "size"), ("turn", "size")], CONV_NAMES, m.CONV.cards, m.CONV.sql))
 def greedy_fixed_order_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, learn.greedy(EMPTY, _conv_scores(spark, sf_dir), seed=None))
 
 
-@_query()
+@_query(q.in_steps([("size", "turn")], CONV_NAMES, m.CONV.cards, m.CONV.sql))
+def greedy_hint_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, learn.greedy_with_hint(EMPTY, _conv_scores(spark, sf_dir), ["turn"], ["size"], seed=None))
+
+
+@_query(q.in_steps([("role", "turn"), ("turn", "role"), ("turn", "size"), ("size", "role"), ("size", "turn")], CONV_NAMES, m.CONV.cards, m.CONV.sql))
 def k2_fixed_order_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, learn.k2(EMPTY, _conv_scores(spark, sf_dir), {"role": ["size"]}, seed=None))
 
 
-@_query()
+@_query(f"WITH m AS ({m.CUST.sql}), {q.best_by_sets(tuple(m.CUST.cards), m.CUST.cards, 'm')} SELECT round(cost, 6) AS score, round(cost, 6) AS edges_score FROM best")
 def exhaustive_cust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, learn.exhaustive(m.CUST.network(), _scores(_cust(spark, sf_dir), m.CUST.cards)))
+    """The optimum, and the score of the edges found, counted anew; which of the equally good structures they are is left open."""
+    table = _cust(spark, sf_dir)
+    found = learn.exhaustive(m.CUST.network(), _scores(table, m.CUST.cards))
+    return spark.createDataFrame([(round(found.score, 6), round(score.mdl(table, found.network), 6))], "score double, edges_score double")
+
 
+_SYN_NAMES = tuple(v.name for v in FIVE.variables)
+_SYN = f"WITH {q.sampled(m.FIVE, 20_000, 5)}, m AS (SELECT {', '.join(_SYN_NAMES)} FROM s), {q.best_by_sets(_SYN_NAMES, score.cards_of(FIVE), 'm')} SELECT round({' + '.join(q.local_mdl(n, (), score.cards_of(FIVE)) for n in _SYN_NAMES)}, 6) AS start, round(cost, 6) AS optimum, TRUE AS acyclic, TRUE AS consistent, TRUE AS within FROM best"
 
-def _syn(spark: SparkSession, model: Model, n: int = 20_000) -> score.ScoreCache:
-    names = [v.name for v in model.network.variables]
-    return _scores(counts.compress(sampling.forward_samples(spark, model, n, seed=5), names), score.cards_of(model.network))
 
+def _held(spark: SparkSession, search: Callable[[score.ScoreCache], learn.Learned]) -> DataFrame:
+    """A search with a seed, held against what must be true of any: its edges form no cycle, their score counted anew is the one returned, and it lies between that of no edges, where it began, and the optimum."""
+    table = counts.compress(sampling.forward_samples(spark, m.FIVE, 20_000, seed=5), list(_SYN_NAMES))
+    scores = _scores(table, score.cards_of(FIVE))
+    found, best, start = search(scores), learn.exhaustive(FIVE.without_edges(), scores).score, scores.total(FIVE.without_edges())
+    acyclic = len(found.network.levels()) == len(FIVE.variables)
+    consistent = abs(score.mdl(table, found.network) - found.score) < 1e-6
+    return spark.createDataFrame([(round(start, 6), round(best, 6), acyclic, consistent, best - 1e-6 <= found.score <= start + 1e-6)], "start double, optimum double, acyclic boolean, consistent boolean, within boolean")
 
-@_query()
+
+@_query(_SYN)
 def anneal_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, learn.anneal(m.FIVE.network.without_edges(), _syn(spark, m.FIVE), initial=500.0, final=0.5, rate=0.98, best_seen=True, seed=3))
+    return _held(spark, lambda scores: learn.anneal(FIVE.without_edges(), scores, initial=500.0, final=0.5, rate=0.98, best_seen=True, seed=3))
 
 
-@_query()
+@_query(_SYN)
 def stepwise_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, learn.stepwise(m.FIVE.network, _syn(spark, m.FIVE), cluster_size=2, inner="exhaustive", seed=3))
+    return _held(spark, lambda scores: learn.stepwise(FIVE, scores, cluster_size=2, inner="exhaustive", between="exhaustive", seed=3))
 
 
-@_query()
+@_query(_SYN)
 def stepwise_hc_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, learn.stepwise_hierarchical(m.FIVE.network, _syn(spark, m.FIVE), alpha=0.3, seed=3))
+    return _held(spark, lambda scores: learn.stepwise_hierarchical(FIVE, scores, alpha=0.3, seed=3))
+
+
+def _bdeu_sql(target: str, parents: tuple[str, ...]) -> str:
+    states, rows = m.CONV.cards[target], q.free(target, parents, m.CONV.cards) // (m.CONV.cards[target] - 1)
+    a, keys = 4 / (rows * states), ", ".join(parents)
+    cells = f"SELECT sum(lgamma(n + {a!r}) - lgamma({a!r})) FROM (SELECT count(*) AS n FROM m GROUP BY {', '.join((*parents, target))})"
+    totals = f"SELECT sum(lgamma(n + {a * states!r}) - lgamma({a * states!r})) FROM (SELECT count(*) AS n FROM m {'GROUP BY ' + keys if keys else ''})"
+    return f"SELECT '{target}' AS target, '{','.join(parents)}' AS parents, round((({totals}) - ({cells})) / ln(2), 4) AS cost"
+
+
+_CONV_FAMILIES = [Family(t, ps) for t in CONV_NAMES for k in range(3) for ps in combinations(sorted(set(CONV_NAMES) - {t}), k)]
+
+
+@_query(f"WITH m AS ({m.CONV.sql}) " + " UNION ALL ".join(_bdeu_sql(*f) for f in _CONV_FAMILIES))
+def bdeu_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score plugged in: the marginal likelihood of every family under four prior samples."""
+    scores = score.ScoreCache(_conv(spark, sf_dir), m.CONV.cards, local=score.bdeu(4.0))
+    scores.load(_CONV_FAMILIES)
+    return spark.createDataFrame([(f.target, ",".join(f.parents), round(scores.local(*f), 4)) for f in _CONV_FAMILIES], "target string, parents string, cost double")
+
+
+_PRUNED = [(0.5, 1.0, 2.0, 0.1, 0.2, None), (0.3, 0.4, 0.5, 0.1, 0.2, None), (0.5, 1.0, 2.0, 0.5, None, 1.0), (0.5, 1.0, 2.0, None, 0.25, 1.0)]
+
+
+@_query("SELECT id, round(CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN alpha ** (fresh / average) ELSE alpha ** (merged / coalesce(l, r)) END, 9) AS p FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in (i, *r)) + ")" for i, r in enumerate(_PRUNED)) + ") AS v(id, alpha, fresh, average, l, r, merged)")
+def prune_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(i, round(learn.prune_probability(*r), 9)) for i, r in enumerate(_PRUNED)], "id int, p double")
 
 
 # --- inference ----------------------------------------------------------------
@@ -429,7 +492,7 @@ def _li_posterior_sql() -> str:
 @_query(_li_posterior_sql())
 def bp_score_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P(return flag | everything else) for every distinct evidence row, in one pass of batched propagation."""
-    table = _li(spark, sf_dir).cache()
+    table = cut(_li(spark, sf_dir))
     model = cpt.fit_model(table, LI_NET)
     rows = table.select(*_EVIDENCE).distinct().withColumn("query_id", counts.mixed_radix(_EVIDENCE, m.LI.cards))
     found = bp.propagate(rows, model, 1e-9, variables=["flag"])
@@ -494,12 +557,94 @@ def dot_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_contingency_sql(m.CONV))
 def samples_text_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contingency table, written as a weighted sample file and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    path = f"{folder.rstrip('/')}/samples-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/samples-{uuid.uuid4().hex}"
     samples.write_samples(_conv(spark, sf_dir), path, CONV_NAMES, "n")
     return samples.read_samples(spark, path, CONV_NAMES, weight_first=True)
 
 
+@_query(m.CONV.sql)
+def samples_lines_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without multiplicities, written as a sample file and read again."""
+    path = f"{shared_folder(spark)}/samples-{uuid.uuid4().hex}"
+    samples.write_samples(m.conv(spark, sf_dir), path, CONV_NAMES)
+    return samples.read_samples(spark, path, CONV_NAMES)
+
+
+def _model_sql(model: Model) -> str:
+    parts = [f"SELECT '{v.name}' AS variable, {q.config(model.network, v.name)} AS config, {v.name} AS state, p FROM t_{v.name}" for v in model.network.variables]
+    return f"WITH {q.tables(model)} " + " UNION ALL ".join(parts)
+
+
+def _tables_of(spark: SparkSession, model: Model) -> DataFrame:
+    names = spark.createDataFrame([(v.id, v.name) for v in model.network.variables], "var_id int, variable string")
+    return model.frame(spark).join(F.broadcast(names), "var_id").select("variable", "config", "state", "p")
+
+
+DSC_TEXT = """//a network
+belief network "chain"\r
+node A
+{
+  type: discrete[3] = {"a", "b", "c"}; // three states
+}
+node B { type : discrete [3]; }
+  node C
+  {
+    type: discrete[2];
+  }
+node D { type: discrete[3]; }
+probability(A) { 0.3, 0.6, 0.1; }
+probability(B | A)
+{
+  (0): 0.2, 0.3, 0.5;
+  (1): 0.3, 0.3, 0.4;
+  (2): 0.8, 0.1, 0.1;
+}
+probability(C | B) { (0): 0.5, 0.5; (1): 0.7, 0.3; (2): 0.4, 0.6; }
+probability(D | C)
+{
+  (0): 0.4, 0.3, 0.3;
+
+  (1): 0.2, 0.6, 0.2;
+}
+"""
+
+
+@_query(_model_sql(m.CHAIN))
+def dsc_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tables_of(spark, dsc.parse(DSC_TEXT))
+
+
+@_query(_model_sql(m.FIVE))
+def dsc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tables_of(spark, dsc.parse(dsc.spell(m.FIVE)))
+
+
+BIF_TEXT = """network pearl { }
+// rain, sprinkler, and two lawns
+variable R { type discrete [ 2 ] { yes, no }; }
+variable S { type discrete [ 2 ] { yes, no }; property of = "nothing"; }
+variable W { type discrete [ 2 ] { wet, dry }; }
+variable H { type discrete [ 2 ] { wet, dry }; }
+probability ( R ) { table 0.2, 0.8; }
+probability ( S ) { table 0.1, 0.9; }
+probability ( W | R ) { (yes) 1.0, 0.0; (no) 0.2, 0.8; }
+probability ( H | R, S ) {
+  (yes, yes) 1.0, 0.0; (yes, no) 1.0, 0.0;
+  (no, yes) 0.9, 0.1; (no, no) 0.0, 1.0;
+}
+"""
+
+
+@_query(_model_sql(m.PEARL))
+def bif_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tables_of(spark, bif.parse(BIF_TEXT))
+
+
+@_query(_model_sql(m.CPT3))
+def bif_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tables_of(spark, bif.parse(bif.spell(m.CPT3)))
+
+
 M1, M2, M3 = ([2, -1, 2, -1, 1, 0, 1, 0, 1], [1, 0, 0, 0, 2, 0, 0, 0, 2], [-1, -1, 2, -1, 0, 2, 1, 1, -1])
 
 
@@ -532,6 +677,14 @@ def matrix_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.cells(one.select(matrix.assigned(F.col("v"), 3, 3).alias("m")), "m")
 
 
+@_query(f"SELECT r.i, c.j, coalesce(m.value, 7e0) AS value, 4 AS height, 2 AS width, {float(M3[5])!r} AS entry FROM (SELECT CAST(range AS INTEGER) AS i FROM range(4)) r, (SELECT CAST(range AS INTEGER) AS j FROM range(2)) c LEFT JOIN {_cells_sql(M3)} ON m.i = r.i AND m.j = c.j")
+def matrix_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resized to 4 x 2, with the new shape and a cell of the old one."""
+    one = spark.createDataFrame([([float(x) for x in M3],)], "v array<double>").select(matrix.assigned(F.col("v"), 3, 3).alias("old")).select("old", matrix.resized(F.col("old"), 4, 2, 7.0).alias("m"))
+    told = one.select(matrix.height(F.col("m")).alias("height"), matrix.width(F.col("m")).alias("width"), matrix.entry(F.col("old"), 1, 2).alias("entry"))
+    return matrix.cells(one, "m").crossJoin(F.broadcast(told))  # one row
+
+
 EV_FAMILIES = [Family("kind"), Family("bin", ("kind",))]
 
 

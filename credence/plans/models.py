@@ -17,6 +17,7 @@ SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 ORDER_STATUSES = ("F", "O", "P")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 LANGS = ("de", "en", "es", "fr")
+SITES = tuple(f"src{i}" for i in range(20))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +56,8 @@ EV = Coded(
     f"SELECT {_place('event_type', EVENTS)} AS kind, CAST(hour(ts) AS INTEGER) AS hour, CAST(least(greatest(floor(value / 50), 0), 9) AS INTEGER) AS bin FROM events",
 )
 DOC = Coded(
-    {"lang": 4, "length": 16, "quality": 2, "toxic": 2},
-    f"SELECT {_place('lang', LANGS)} AS lang, CAST(least(floor(log2(greatest(n_chars, 1))), 15) AS INTEGER) AS length, quality, toxic FROM documents JOIN labels USING (doc_id)",
+    {"lang": 4, "source": 20, "length": 16, "quality": 2, "toxic": 2},
+    f"SELECT {_place('lang', LANGS)} AS lang, {_place('source', SITES)} AS source, CAST(least(floor(log2(greatest(n_chars, 1))), 15) AS INTEGER) AS length, quality, toxic FROM documents JOIN labels USING (doc_id)",
 )
 
 
@@ -96,8 +97,8 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = _table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(_table(spark, sf_dir, "labels"), "doc_id")
-    return both.select(d.label(F.col("lang"), LANGS).alias("lang"), d.log2_width(F.col("n_chars"), 16).alias("length"), F.col("quality").cast("int"), F.col("toxic").cast("int"))
+    both = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(_table(spark, sf_dir, "labels"), "doc_id")
+    return both.select(d.label(F.col("lang"), LANGS).alias("lang"), d.label(F.col("source"), SITES).alias("source"), d.log2_width(F.col("n_chars"), 16).alias("length"), F.col("quality").cast("int"), F.col("toxic").cast("int"))
 
 
 PEARL = Model.of(

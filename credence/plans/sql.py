@@ -133,6 +133,41 @@ def best_of(graphs: list[dict[str, tuple[str, ...]]], names: Sequence[str], card
     return f"WITH m AS ({source}), {all_local(names, cards, len(names) - 1)} SELECT round(min(cost), 6) AS score FROM (SELECT g, sum(l.cost) AS cost FROM {values(rows, 'd(g, target, parents)')} JOIN local l ON d.target = l.target AND d.parents = l.parents GROUP BY g)"
 
 
+def best_by_sets(names: Sequence[str], cards: Mapping[str, int], source: str) -> str:
+    """CTE best(cost): the least sum of local costs over all directed acyclic graphs, by sets: every set has a member whose parents are in the rest. Needs the CTE m."""
+    bit = {n: 1 << i for i, n in enumerate(names)}
+    parts = []
+    for t in names:
+        rest = [n for n in names if n != t]
+        parts += [f"SELECT {bit[t]} AS t, {sum(bit[p] for p in ps)} AS ps, {local_mdl(t, ps, cards, source)} AS cost" for k in range(len(names)) for ps in combinations(rest, k)]
+    out = [f"families AS ({' UNION ALL '.join(parts)})", f"pools AS (SELECT f.t, r.range AS pool, min(cost) AS cost FROM families f, range({1 << len(names)}) r WHERE (f.ps & r.range) = f.ps AND (r.range & f.t) = 0 GROUP BY ALL)", "c0 AS (SELECT CAST(0 AS BIGINT) AS s, 0e0 AS cost)"]
+    out += [f"c{k} AS (SELECT c.s | p.t AS s, min(c.cost + p.cost) AS cost FROM c{k - 1} c JOIN pools p ON p.pool = c.s GROUP BY ALL)" for k in range(1, len(names) + 1)]
+    return ", ".join(out) + f", best AS (SELECT cost FROM c{len(names)})"
+
+
+def in_steps(steps: Sequence[tuple[str, str]], names: Sequence[str], cards: Mapping[str, int], source: str) -> str:
+    """(parent, child, score): edges parent -> child are offered in turn, as (child, parent); each is taken if it closes no cycle and lowers the child's cost."""
+    states: list[frozenset[tuple[str, str]]] = [frozenset()]
+    chain = ["s0 AS (SELECT 0 AS state)"]
+    cost = lambda child, edges: f"(SELECT cost FROM local WHERE target = '{child}' AND parents = '{','.join(sorted(p for p, c in edges if c == child))}')"
+
+    def leads(a: str, b: str, edges: frozenset) -> bool:
+        return a == b or any(leads(c, b, edges) for p, c in edges if p == a)
+
+    for k, (child, parent) in enumerate(steps, 1):
+        whens = []
+        for old in list(states):
+            new = old | {(parent, child)}
+            if new != old and not leads(child, parent, old):
+                if new not in states:
+                    states.append(new)
+                whens.append(f"WHEN {states.index(old)} THEN CASE WHEN {cost(child, new)} < {cost(child, old)} THEN {states.index(new)} ELSE {states.index(old)} END")
+        chain.append(f"s{k} AS (SELECT {'CASE state ' + ' '.join(whens) + ' ELSE state END' if whens else 'state'} AS state FROM s{k - 1})")
+    totals = " ".join(f"WHEN {i} THEN {' + '.join(cost(n, edges) for n in names)}" for i, edges in enumerate(states))
+    listed = values([(i, p, c) for i, edges in enumerate(states) for p, c in sorted(edges)], "e(state, parent, child)")
+    return f"WITH m AS ({source}), {all_local(names, cards, len(names) - 1)}, {', '.join(chain)} SELECT e.parent, e.child, round(CASE s.state {totals} END, 6) AS score FROM s{len(steps)} s LEFT JOIN {listed} ON e.state = s.state"
+
+
 def sampled(model: Model, n: int, seed: int, evidence: Mapping[str, int] | None = None) -> str:
     """CTE s(i, names..., _w) of weighted samples."""
     net, evidence = model.network, dict(evidence or {})

@@ -11,10 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ..network import Network
 from ..operators.counts import Family, mixed_radix
 from ..operators.cpt import Unseen, fit
+from ..operators.discretize import checked
 
 
 def family_counts(stream: DataFrame, families: Sequence[Family], cards: dict[str, int]) -> DataFrame:
-    """(family, config, state, n) over all rows so far; for update or complete mode. State is one row for each cell seen."""
+    """(family, config, state, n) over all rows so far; for update or complete mode. State is one row for each cell seen. A code outside its variable's domain stops the query."""
+    stream = checked(stream, {c: cards[c] for f in families for c in (f.target, *f.parents)})
     each = [F.struct(F.lit(i).alias("family"), mixed_radix(f.parents, cards).alias("config"), F.col(f.target).cast("int").alias("state")) for i, f in enumerate(families)]
     return stream.select(F.explode(F.array(*each)).alias("x")).groupBy("x.family", "x.config", "x.state").agg(F.count("*").alias("n"))
 
