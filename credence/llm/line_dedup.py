@@ -11,7 +11,9 @@ text has no lines and passes unchanged; lines without a word are never
 counted or dropped; repeated rows count as pages of their own; a line on one
 page of its host stays, as no ratio means anything there, and from two pages on
 the ratio alone decides at every size of a host (`min_pages` and `min_count`
-can ask for more); other columns pass through whatever their names.
+can ask for more); a very long text is cleaned whole; lines are equal or not, so
+there are no ties; an empty table gives an empty result; other columns pass
+through whatever their names.
 """
 
 from __future__ import annotations

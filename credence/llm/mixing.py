@@ -19,8 +19,9 @@ digest, about `ROWS_PER_BUCKET` rows each, summed within buckets, and the sums
 of the buckets are added up.
 
 Defined results for unusual input: a null text has size 0 and takes nothing; a
-null source is a source; identical rows count separately; an empty table gives
-an empty result; columns of df with reserved names (leading underscore) are
+null source is a source; a very long text is one document of its size; identical
+rows count separately, and which of them takes more is left open, as nothing tells
+them apart; an empty table gives an empty result; columns of df with reserved names (leading underscore) are
 safe because rows travel in a struct.
 """
 

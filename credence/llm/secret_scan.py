@@ -15,9 +15,11 @@ p-values are counted over the whole corpus in a histogram of fixed size.
 Only built-in expressions are used. The spans of a row are found in the row;
 nothing but the histogram is shuffled.
 
-Defined results for unusual input: a null or empty text has no spans; repeated
-rows give repeated rows; null ids are kept; only the id and text columns are
-read. Positions are code points, ends exclusive.
+Defined results for unusual input: a null or empty text has no spans; a very
+long text is scanned whole; spans that begin together are in the order of their
+kinds; an empty table gives an empty result; repeated rows give repeated rows and
+count in the histogram as often; null ids are kept; only the id and text columns
+are read, whatever others are named. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
