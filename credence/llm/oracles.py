@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality_rules, url_filter
+from . import line_dedup, mixing, near_dedup, quality_rules, secret_scan, url_filter
 
 _SPACE = r"[ \t\n\x0b\f\r]"
 
@@ -102,5 +102,69 @@ c AS (SELECT *, CASE WHEN part > 0 THEN {_position("((begins + part / 2e0) / tar
 SELECT doc_id, size, source_size, target, CAST(sum(part) AS BIGINT) AS taken, CAST(sum(CASE WHEN part > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_copies, round(min(position), 6) AS position, round(max(position), 6) AS last_position FROM c GROUP BY doc_id, size, source_size, target, before"""
 
 
+def near() -> str:
+    """Every pair that shares a shingle is compared, and components are what can be reached."""
+    r, k = near_dedup, near_dedup.WIDTH
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    following = ", ".join(f"lead(x, {j}) OVER o" for j in range(1, k))
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({lower}, '{_SPACE}+'), lambda w: w <> '') AS w FROM documents),
+v AS (SELECT doc_id, len(w) AS k, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+s AS (SELECT doc_id, k, i, concat_ws(' ', x, {following}) AS g FROM v WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT DISTINCT doc_id, g FROM s WHERE i <= greatest(k - {k - 1}, 1)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= {r.THRESHOLD} * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS node FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.node = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id) c ON d.doc_id = c.doc_id"""
+
+
+def _tail(z: str) -> str:
+    """P(Z > z), by the approximation that the battery uses."""
+    t = f"(1 / (1 + 0.2316419e0 * abs({z})))"
+    poly = f"{t} * (0.319381530e0 + {t} * (-0.356563782e0 + {t} * (1.781477937e0 + {t} * (-1.821255978e0 + {t} * 1.330274429e0))))"
+    tail = f"exp(-({z}) * ({z}) / 2) * 0.3989422804014327e0 * {poly}"
+    return f"CASE WHEN {z} >= 0 THEN {tail} ELSE 1 - {tail} END"
+
+
+def secrets() -> str:
+    """All spans: patterns, then the battery on one row for each character of each token."""
+    r = secret_scan
+    patterns = [(r.ASSIGN, 2, r.MIN_ASSIGN), ("AKIA[A-Z0-9]+", 0, 18), ("[0-9a-f]+", 0, 16), (r.TOKEN, 0, 0)]
+    of_kind = "UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, {least} AS least, regexp_extract_all(t, {_quote(x)}, 0) AS m, regexp_extract_all(t, {_quote(x)}, {group}) AS v, string_split_regex(t, {_quote(x)}) AS gaps FROM d WHERE regexp_matches(t, {_quote(x)}) " for k, (x, group, least) in enumerate(patterns)
+    )
+    by = lambda values: " ".join(["CASE e", *(f"WHEN {e} THEN {v}" for e, v in enumerate(values)), "END"])
+    two = lambda got, q: f"pow({got} - n * {q}, 2) / (n * {q} * (1 - {q}))"
+    lengths = " + ".join(f"CAST(n >= {v} AS INTEGER)" for v in r.LENGTHS)
+    kinds = " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(r.KINDS))
+    spelled = f"CASE k {kinds} END || ':' || a || ':' || b"
+    bins = f"{r.BINS}e0"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({of_kind}),
+u AS (SELECT doc_id, k, least, i, m[i] AS token, v[i] AS v, length(gaps[i]) + length(m[i]) AS width FROM (SELECT *, generate_subscripts(m, 1) AS i FROM m)),
+f AS (SELECT doc_id, k, token, length(v) >= least AS long_enough, sum(width) OVER (PARTITION BY doc_id, k ORDER BY i) AS b FROM u),
+s AS (SELECT doc_id, k, token, CAST(b - length(token) AS BIGINT) AS a, CAST(b AS BIGINT) AS b, row_number() OVER () AS id FROM f WHERE long_enough),
+x AS (SELECT id, regexp_replace(token, '=+$', '') AS bare FROM s WHERE k = 3),
+y AS (SELECT id, bare, CASE WHEN regexp_matches(bare, '^(?:[0-9a-f]+|[0-9A-F]+)$') THEN 0 WHEN regexp_matches(bare, '^[A-Z2-7]+$') THEN 1 WHEN regexp_matches(bare, '^(?:[a-z0-9]+|[A-Z0-9]+)$') THEN 2 ELSE 3 END AS e FROM x),
+z AS (SELECT id, e, CASE e WHEN 1 THEN bare WHEN 3 THEN translate(bare, '-_', '+/') ELSE lower(bare) END AS w, {by(_quote(v) for v in r.ALPHABETS)} AS alphabet, {by(f"{len(v)}e0" for v in r.ALPHABETS)} AS size FROM y),
+c AS (SELECT id, e, w, size, CAST(length(w) AS DOUBLE) AS n, i, w[i] AS c, strpos(alphabet, w[i]) - (size + 1) / 2 AS off FROM (SELECT *, unnest(range(1, length(w) + 1)) AS i FROM z)),
+q AS (SELECT id, sum(k * k) AS squares FROM (SELECT id, c, CAST(count(*) AS DOUBLE) AS k FROM c GROUP BY id, c) GROUP BY id),
+o AS (SELECT *, lead(off) OVER (PARTITION BY id ORDER BY i) AS next FROM c),
+t AS (SELECT id, e, n, size, sum(CAST((off > 0) <> (next > 0) AS INTEGER)) AS changes, sum(off * next) AS serial, CAST(sum(CAST(regexp_matches(c, '[0-9]') AS INTEGER)) AS DOUBLE) AS digits, CAST(sum(CAST(regexp_matches(c, {by(["'[0-9]'", "'[A-Z]'", "'[a-z]'", "'[A-Z]'"])}) AS INTEGER)) AS DOUBLE) AS first_class FROM o GROUP BY id, e, n, size),
+v AS (SELECT id, e, n, squares * size / n - n AS symbols, size - 1 AS df, 2 / (9 * (size - 1)) AS cube, (changes - (n - 1) / 2) / (sqrt(n - 1) / 2) AS runs, serial / ((size * size - 1) / 12 * sqrt(n - 1)) AS serial, {by(["10 / 16e0", "26 / 32e0", "26 / 36e0", "26 / 64e0"])} AS share, first_class, digits FROM t JOIN q USING (id)),
+w AS (SELECT id, e, n, (pow(symbols / df, 1 / 3e0) - (1 - cube)) / sqrt(cube) AS uniform, sqrt(CASE e WHEN 3 THEN greatest({two("first_class", "share")}, {two("digits", "(10 / 64e0)")}) ELSE {two("first_class", "share")} END) AS classes, abs(runs) AS runs, abs(serial) AS serial FROM v),
+p AS (SELECT id, e * 16 + {lengths} AS class, 1 - pow(1 - least(greatest(least({_tail("uniform")}, 2 * ({_tail("classes")}), 2 * ({_tail("runs")}), 2 * ({_tail("serial")})), 0), 1), 4) AS p FROM w),
+h AS (SELECT class, least(CAST(floor(p * {bins}) AS INTEGER), {r.BINS - 1}) AS bin, count(*) AS n FROM p GROUP BY ALL),
+j AS (SELECT class, cut, sum(n) FILTER (bin >= cut) AS above, 2 * sum(n) FILTER (bin >= {r.BINS // 2}) AS random FROM h, (SELECT unnest(range({int(r.LEAST_P * r.BINS)}, {r.BINS // 2 + 1})) AS cut) GROUP BY class, cut),
+k AS (SELECT class, min(cut) / {bins} AS limit_p FROM j WHERE above > 0 AND random > 0 AND 1 - random * (1 - cut / {bins}) / above <= {r.MAX_FDR!r}e0 GROUP BY class),
+g AS (SELECT doc_id, k, a, b FROM s WHERE k < 3 UNION ALL SELECT doc_id, k, a, b FROM s JOIN p USING (id) JOIN k AS limits ON p.class = limits.class AND p.p >= limit_p WHERE NOT EXISTS (SELECT 1 FROM s AS base WHERE base.doc_id = s.doc_id AND base.k < 3 AND base.a <= s.a AND base.b >= s.b))
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, sha256(coalesce(string_agg({spelled}, ',' ORDER BY a, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg({spelled}, ',' ORDER BY a, k), '') AS spans, count(*) FILTER (k = 3) AS n_random
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id GROUP BY d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality(), "op2_line_dedup": lines(), "op5_url_filter": urls(), "op8_mixing": mixed()}
+    return {"op1_quality_rules": quality(), "op2_line_dedup": lines(), "op5_url_filter": urls(), "op7_near_dedup": near(), "op8_mixing": mixed(), "op9_secret_scan": secrets()}

@@ -258,6 +258,31 @@ def test_battery_tells_random_from_words(spark):
     assert 0.3 < sum(x > 0.5 for x in p) / 300 < 0.8
 
 
+def test_battery_matches_sql(spark, tmp_path):
+    """Random tokens of every encoding and length class among words, base spans and characters beyond the BMP."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(11)
+    token = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    spellings = [*secret_scan.ALPHABETS, "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", secret_scan.ALPHABETS[3].replace("+/", "-_")]
+    texts = []
+    for i in range(900):
+        parts = [rng.choice(["é 😀", "plain words here", "token = ", "AKIA", "x"]) for _ in range(3)]
+        parts.append(token(rng.choice(spellings), rng.choice([19, 20, 24, 33, 40, 64, 100, 200])) + "=" * rng.randint(0, 3))
+        parts.append(rng.choice(["keitlichenlichkeitbeung", "a" * 30, "SomeVeryLongCamelCaseClassNameFactory", "abcdefghijklmnopqrstuvwxyz0123456789"]))
+        rng.shuffle(parts)
+        texts.append(rng.choice([" ", " ", "\n"]).join(parts))
+    df = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string")
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = queries.op9_secret_scan(spark, f"file://{tmp_path}")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows_of(got.orderBy("doc_id"), *got.columns) == con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracles.secrets()}) ORDER BY doc_id").fetchall()
+    assert got.agg(F.sum("n_random")).first()[0] > 200 and got.filter("n_assign > 0").count() > 50
+
+
 def test_thresholds():
     uniform = [(1, b, 10) for b in range(50)]
     assert secret_scan.thresholds(uniform) == {1: secret_scan.LEAST_P}
