@@ -4,11 +4,11 @@ All but the last return the columns of docs, so training order, which mixing
 makes, is the order of rows in the files it writes, and packing takes it from
 there.
 
-Defined results for unusual input: a null or empty text goes in the first
-stage, as it has too few words; so does any text of fewer than 50. Null ids are
-never near-duplicates. Rows that repeat an id with the same text are copies of
-which mixing takes each; with different texts see `near_dedup`. Null sources are
-one source. Very long texts pass whole. An empty table passes all stages. Extra
+Defined results for unusual input: a null or empty text, or one without words,
+goes in the first stage; a short one is judged as any other. Null ids are never
+near-duplicates. Rows that repeat an id with the same text are copies of which
+mixing takes each; with different texts see `near_dedup`. Null sources are one
+source. Very long texts pass whole. An empty table passes all stages. Extra
 columns pass up to packing, whatever their names.
 """
 
@@ -27,7 +27,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return recount(quality_rules.clean(docs))
+    """Being short makes no document unclean: one with a word is judged by its lines and its repeats, however short."""
+    return recount(quality_rules.clean(docs, min_words=1))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,14 +137,14 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     ).withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * MAX_LOST_PERCENT))
 
 
-def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that are kept, with the columns of df and the failing lines taken out of the text."""
+def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows that are kept, with the columns of df and the failing lines taken out of the text. A text of fewer than min_words words goes."""
     inner = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     text = F.coalesce(F.col("_t"), F.lit(""))
     w = words(text)
     staged = inner.select("_row", text.alias("_text"), w.alias("_w"), F.split(text, "\n", -1).alias("_lines"))
     staged = staged.select("_row", F.size("_w").alias("_n"), _solid(F.col("_w")).alias("_solid"), "_lines", repeat_words(F.col("_w")).alias("_r"), good_lines(F.col("_text"), F.col("_lines")).alias("_good"), F.monotonically_increasing_id().alias("_here"))
     # _here keeps the filters above it: pushed below, they would judge every line twice.
-    staged = staged.filter((F.col("_n") >= MIN_WORDS) & (F.col("_r") * 100 <= F.col("_n") * MAX_REPEAT_PERCENT))
+    staged = staged.filter((F.col("_n") >= min_words) & (F.col("_r") * 100 <= F.col("_n") * MAX_REPEAT_PERCENT))
     staged = staged.filter(_lost(F.col("_solid"), F.col("_lines"), F.col("_good")) * 100 <= F.col("_solid") * MAX_LOST_PERCENT)
     return staged.select(*[(F.concat_ws("\n", "_good") if c == text_col else F.col("_row")[c]).alias(c) for c in df.columns])

@@ -31,7 +31,7 @@ def line_fails(line):
     return punctuation or (seps >= 2 and seps * 3 >= k) or any(p in line.lower() for p in q.PHRASES) or (k >= q.MIN_SHOUT_WORDS and capitals * 2 > letters)
 
 
-def quality(text):
+def quality(text, min_words=50):
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lost_chars, clean text)"""
     text = text or ""
     w, lines = words(text), text.split("\n")
@@ -41,7 +41,7 @@ def quality(text):
     chars = sum(map(len, w))
     good = [line for line in lines if not line_fails(line)]
     lost = chars - sum(len(x) for line in good for x in words(line))
-    failed = len(w) < 50 or 100 * len(repeat) > 50 * len(w)
+    failed = len(w) < min_words or 100 * len(repeat) > 50 * len(w)
     return len(w), chars, count(text, "#*$%&|<>"), len(solid) - len(set(solid)), len(repeat), failed, not failed and lost * 100 <= chars * quality_rules.MAX_LOST_PERCENT, lost, "\n".join(good)
 
 

@@ -35,8 +35,9 @@ def test_quality_clean(odd_docs, docs):
     for df in (odd_docs, docs):
         out = quality_rules.clean(df)
         assert out.columns == df.columns
-        want = Counter((i, q[-1], s) for i, t, s in rows_of(df, "doc_id", "text", "source") if (q := brute.quality(t))[6])
-        assert Counter(rows_of(out, "doc_id", "text", "source")) == want
+        for words, out in ((50, out), (1, quality_rules.clean(df, min_words=1))):
+            want = Counter((i, q[-1], s) for i, t, s in rows_of(df, "doc_id", "text", "source") if (q := brute.quality(t, words))[6])
+            assert Counter(rows_of(out, "doc_id", "text", "source")) == want
 
 
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
