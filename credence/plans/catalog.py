@@ -489,13 +489,12 @@ def _li_posterior_sql() -> str:
     return f"WITH m AS ({m.LI.sql}), {q.fitted(LI_NET, 'm')} SELECT {', '.join(_EVIDENCE)}, state, round(x / sum(x) OVER (PARTITION BY {', '.join(_EVIDENCE)}), 6) AS p FROM ({inner})"
 
 
-@_query(_li_posterior_sql())
-def bp_score_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P(return flag | everything else) for every distinct evidence row, in one pass of batched propagation."""
+def _score_lineitem(spark: SparkSession, sf_dir: str, infer: Callable[[DataFrame, Model], DataFrame]) -> DataFrame:
+    """P(return flag | everything else) for every distinct evidence row."""
     table = cut(_li(spark, sf_dir))
     model = cpt.fit_model(table, LI_NET)
     rows = table.select(*_EVIDENCE).distinct().withColumn("query_id", counts.mixed_radix(_EVIDENCE, m.LI.cards))
-    found = bp.propagate(rows, model, 1e-9, variables=["flag"])
+    found = infer(rows, model)
     back = {}
     at = F.col("query_id")
     for v in reversed(_EVIDENCE):
@@ -504,6 +503,29 @@ def bp_score_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[back[v].alias(v) for v in _EVIDENCE], "state", (F.round("p", 6) + F.lit(0.0)).alias("p"))
 
 
+@_query(_li_posterior_sql())
+def bp_score_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In one pass of batched propagation."""
+    return _score_lineitem(spark, sf_dir, lambda rows, model: bp.propagate(rows, model, 1e-9, variables=["flag"]))
+
+
+@_query(_li_posterior_sql())
+def posterior_score_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By elimination, each batch of rows in its task."""
+    return _score_lineitem(spark, sf_dir, lambda rows, model: exact.posteriors_of(rows, model, variables=["flag"]))
+
+
+_FIVE_ROWS = [{"V5": 0}, {"V4": 1, "V1": 0}, {"V2": 1, "V3": 0, "V5": 1}, {}]
+
+
+@_query(" UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS query_id, * FROM ({q.posterior(m.FIVE, e)})" for i, e in enumerate(_FIVE_ROWS)))
+def posterior_five_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network with a loop, rows with different variables observed."""
+    names = [v.name for v in m.FIVE.network.variables]
+    rows = spark.createDataFrame([(i, *(e.get(n) for n in names)) for i, e in enumerate(_FIVE_ROWS)], "query_id long, " + ", ".join(f"{n} int" for n in names))
+    return rounded(exact.posteriors_of(rows, m.FIVE), 6, "p")
+
+
 _N_SAMPLES = 20_000
 
 

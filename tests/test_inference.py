@@ -117,6 +117,49 @@ def test_propagation_is_exact_on_random_polytrees(seed):
         assert belief[net[k].id][0] == pytest.approx(p, abs=1e-9)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10_000))
+def test_elimination_on_random_networks(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 8))
+    net = Network.of({f"x{i}": int(rng.integers(1, 4)) for i in range(n)})
+    for i in range(n):
+        for j in range(i):
+            if rng.random() < 0.4:
+                net = net.require_edge(f"x{j}", f"x{i}")
+    model = Model(net, {v.id: {c: tuple(rng.dirichlet(np.ones(v.card))) for c in configurations(p.card for p in net.parents(v))} for v in net.variables})
+    evidence = {f"x{i}": int(rng.integers(0, net[f"x{i}"].card)) for i in range(n) if rng.random() < 0.3}
+    engine = exact.Elimination(model)
+    for k, p in brute(model, evidence).items():
+        assert engine.posterior(k, evidence) == pytest.approx(p, abs=1e-9)
+
+
+def test_elimination_of_rows(spark):
+    rows = spark.createDataFrame([(1, 0, None), (2, None, 1), (2, None, 1), (None, None, None)], "query_id long, A int, C int")
+    got = exact.posteriors_of(rows, CHAIN).collect()
+    assert len(got) == 4 * 11
+    for query, evidence, times in ((1, {"A": 0}, 1), (2, {"C": 1}, 2), (None, {}, 1)):
+        want = {(r.var_id, r.state): r.p for r in exact.posteriors(spark, CHAIN, evidence).collect()}
+        found = [r for r in got if r.query_id == query]
+        assert len(found) == times * 11 and all(r.p == pytest.approx(want[r.var_id, r.state], abs=1e-12) for r in found)
+    assert exact.posteriors_of(rows.limit(0), CHAIN).count() == 0
+    impossible = spark.createDataFrame([(1, 1, 0)], "query_id long, W int, R int")
+    assert {r.p for r in exact.posteriors_of(impossible, PEARL, variables=["S"]).collect()} == {None}
+
+
+def test_elimination_refuses(spark):
+    for state in (-1, 9, None):
+        with pytest.raises(NetworkError, match="no state"):
+            exact.posterior(spark, CHAIN, "A", {"C": state})
+    with pytest.raises(Exception, match="no state 9"):
+        exact.posteriors_of(spark.createDataFrame([(1, 9)], "query_id long, C int"), CHAIN).collect()
+    with pytest.raises(NetworkError, match="observed"):
+        exact.joint(spark, CHAIN, ["A", "C"], {"C": 1})
+    with pytest.raises(NetworkError, match="cells"):
+        exact.posteriors(spark, FIVE, most=4)
+    assert {(r.A, r.C): r.val for r in exact.joint(spark, CHAIN, ["A", "C"]).collect()}.keys() == set(configurations([CHAIN.network["A"].card, CHAIN.network["C"].card]))
+
+
 def test_samplers_come_near(spark):
     for df in (sampling.rejection_sampling(spark, FIVE, {"V4": 1, "V1": 0}, 10_000, seed=2), sampling.likelihood_weighting(spark, FIVE, {"V4": 1, "V1": 0}, 20_000, seed=2), sampling.likelihood_weighting(spark, FIVE, {"V4": 1, "V1": 0}, 20_000, seed=2, fast=True)):
         close(read(df, FIVE), {"V2": (0.64, 0.36), "V5": (0.202, 0.798)}, 0.02)
