@@ -37,7 +37,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize
+from .common import BROADCAST_ROWS, materialize, small
 
 CAPACITY = 2048
 END = 0
@@ -230,7 +230,9 @@ def pack(df: DataFrame, vocabulary: str, ranks: str, pattern: str, id_col: str =
     given = df if placed is None else placed
     found = materialize(pieces(given, vocabulary, ranks, pattern, id_col, text_col, capacity, end, None if placed is None else "_place"), "pieces")
     if placed is None:
-        joined = found.join(assign(found.select("uid", "length"), capacity, **how), "uid").withColumn("sequence_place", F.lit(None).cast("long"))
+        assigned = assign(found.select("uid", "length"), capacity, **how).withColumn("sequence_place", F.lit(None).cast("long"))
     else:
-        joined = found.join(assign_in_order(found.select("uid", "length", "place"), capacity, **how), "uid")
+        assigned = assign_in_order(found.select("uid", "length", "place"), capacity, **how)
+    # One row a piece: where they are few, pieces stay in the files they were written to, and no file is made for each shuffle partition.
+    joined = found.join(F.broadcast(assigned) if small(found) else assigned, "uid")
     return joined.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["sequence_place"] if in_order else []))

@@ -149,6 +149,22 @@ def test_no_documents(no_docs):
     assert queries.packed(no_docs).collect() == []
 
 
+def test_few_pieces_are_not_dealt_to_every_shuffle_partition(spark, docs, tmp_path):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("60", "false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        for in_order in (False, True):
+            out = str(tmp_path / f"packed-{in_order}")
+            queries.packed(docs.repartition(3) if not in_order else docs, in_order=in_order).write.parquet(out)
+            rows = rows_of(spark.read.parquet(out), "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+            brute.check_packing(rows, rows_of(docs, "doc_id", "text"), encode)
+            assert len(spark.read.parquet(out).inputFiles()) <= 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
 def test_bound_never_exceeds_the_optimum(lengths):
